@@ -99,6 +99,28 @@ def _signature_type(id_type) -> StructType:
     )
 
 
+def _word_counts(batches):
+    """In how many records each word is, summed over a part of the table in bulk."""
+    held, pending = [], 0
+
+    def summed():
+        token, count = np.concatenate([t for t, _ in held]), np.concatenate([c for _, c in held])
+        unique, at = np.unique(token, return_inverse=True)
+        return unique, np.bincount(at, weights=count).astype(np.int64)
+
+    for batch in batches:
+        token, count = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+        held.append((token, count))
+        pending += len(token)
+        if pending > 2_000_000:
+            held = [summed()]
+            pending = 0
+    if held:
+        token, count = summed()
+        for at in range(0, len(token), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(token[at : at + 50_000]), pa.array(count[at : at + 50_000])], ["word", "count"])
+
+
 # -- allocation ----------------------------------------------------------------------------
 
 
@@ -279,7 +301,7 @@ def _subset_keys(codes: np.ndarray, lengths: np.ndarray, subset: int) -> np.ndar
     return np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
 
 
-def _candidates(num: int, den: int, subsets: dict, chunk: int = 2_000_000):
+def _candidates(num: int, den: int, subsets: dict, chunk: int = 400_000):
     """Pairs of records that share a subset and can overlap enough by size and sketch."""
 
     def run(tbl: pa.Table) -> pa.Table:
@@ -296,20 +318,20 @@ def _candidates(num: int, den: int, subsets: dict, chunk: int = 2_000_000):
         codes = codes[gather(starts(lengths)[:-1][one], lengths[one])]
         h1, n, lengths, sketch = h1[one], n[one], lengths[one], [s[one] for s in sketch]
         keys = _subset_keys(codes, lengths, subset)
-        document, indexed = ((keys >> _U(1)) & _U(0x1FFFFFF)).astype(np.int64), (keys & _U(1)) != 0
+        document = ((keys >> _U(1)) & _U(0x1FFFFFF)).astype(np.int32)
         largest = np.searchsorted(n, n * den // num, side="right")  # the first record too large for each
-        end_key = (keys >> _U(26) << _U(26)) | (largest[document].astype(np.uint64) << _U(1))
-        use = np.nonzero(indexed)[0]
-        count = np.zeros(len(keys), np.int64)
-        count[use] = np.maximum(np.searchsorted(keys, end_key[use]) - use - 1, 0)
-        use = np.nonzero(count)[0]
-        total = np.cumsum(count[use])
+        use = np.nonzero((keys & _U(1)) != 0)[0]  # the smaller record of a pair is indexed
+        end = np.searchsorted(keys, (keys[use] >> _U(26) << _U(26)) | (largest[document[use]].astype(np.uint64) << _U(1)))
+        count = np.maximum(end - use - 1, 0)
+        use, count = use[count > 0], count[count > 0]
+        del keys, end
+        total = np.cumsum(count)
         results, at = [], 0
         while at < len(use):
             to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk, side="right")), at + 1)
             i = use[at:to]
-            other = document[gather(i + 1, count[i])]
-            mine = np.repeat(document[i], count[i])
+            other = document[gather(i + 1, count[at:to])].astype(np.int64)
+            mine = np.repeat(document[i], count[at:to]).astype(np.int64)
             at = to
             both = n[mine] + n[other]
             apart = both - 2 * least_common(num, den, both)
@@ -358,7 +380,7 @@ def near_copies(
     # the global order: words in more than 1 of FREQUENT_SHARE records by frequency, the others before them
     records, size = signed.agg(F.count("*"), F.avg("n")).first()
     frequent = (
-        signed.select(F.explode("words").alias("word")).groupBy("word").count()
+        signed.select("words").mapInArrow(_word_counts, "word int, count long").groupBy("word").agg(F.sum("count").alias("count"))
         .where(F.col("count") > records / FREQUENT_SHARE).orderBy("count", "word").toPandas()
     )
     tokens = frequent["word"].to_numpy().astype(np.int32).view(np.uint32)
@@ -378,8 +400,9 @@ def near_copies(
 
     # classes of equal word sets
     members = signed.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2")
-    heads = members.groupBy("h1", "h2").agg(F.min("id").alias("class_id"))
-    classes = members.join(heads, ["h1", "h2"]).select("id", "class_id")
+    least = members.groupBy("h1", "h2").agg(F.min("id").alias("class_id"))
+    classed = stage(members.join(least, ["h1", "h2"]).select("id", "class_id", "h1"))
+    heads = classed.where("id = class_id")
 
     # verification on the words themselves
     a = heads.select(F.col("h1").alias("x"), F.col("class_id").alias("p"))
@@ -391,7 +414,7 @@ def near_copies(
     needed = candidates.select(F.col("class_a").alias("id")).union(candidates.select("class_b")).distinct()
     if 2 * candidates.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
-    listed = source.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(
+    listed = source.join(needed, "id", "left_semi").mapInArrow(
         _word_lists, StructType([source.schema["id"], StructField("words", ArrayType(StringType()))])
     )
     left = listed.select(F.col("id").alias("class_a"), F.col("words").alias("words_a"))
@@ -402,8 +425,10 @@ def near_copies(
         .withColumn("_common", common)
         .withColumn("_either", F.size("words_a") + F.size("words_b") - F.col("_common"))
         .where(F.col("_common") * den >= F.col("_either") * num)
-        .select("class_a", "class_b", (F.col("_common") / F.col("_either")).alias("overlap"))
+        .groupBy("class_a", "class_b")  # a record may have been delivered twice
+        .agg(F.max(F.col("_common") / F.col("_either")).alias("overlap"))
     )
+    classes = classed.select("id", "class_id")
     return NearCopies(classes, links)
 
 
