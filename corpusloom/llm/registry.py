@@ -1,12 +1,26 @@
 """Queries of the problems tagged llm, and SQL where it can state them."""
 from __future__ import annotations
 
-from corpusloom.llm import nearcopies, textform
+from corpusloom.llm import abuse, bpe, crosssplit, leaks, mixing, nearcopies, pairdefects, textform
 
 QUERIES = {
     "p1_found": nearcopies.p1_found,
     "p1_groups": nearcopies.p1_groups,
+    "p2_found": crosssplit.p2_found,
+    "p2_report": crosssplit.p2_report,
     "p3_found": textform.p3_found,
     "p3_forms": textform.p3_forms,
+    "p4_copies": mixing.p4_copies,
+    "p4_shares": mixing.p4_shares,
+    "p5_found": pairdefects.p5_found,
+    "p5_rates": pairdefects.p5_rates,
+    "p7_budget": bpe.p7_budget,
+    "p7_documents": bpe.p7_documents,
+    "p8_ids": bpe.p8_ids,
+    "p9_found": leaks.p9_found,
+    "p9_items": leaks.p9_items,
+    "p10_found": abuse.p10_found,
+    "p10_scores": abuse.p10_scores,
+    "p10_rates": abuse.p10_rates,
 }
 ORACLES: dict[str, str] = {}
