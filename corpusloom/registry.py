@@ -1,7 +1,7 @@
 """Queries of the library by name, and equivalent SQL where it can be stated."""
 from __future__ import annotations
 
-from corpusloom.operators import nested_queries
+from corpusloom.operators import nested_queries, queries
 
-QUERIES = dict(nested_queries.QUERIES)
-ORACLES = dict(nested_queries.ORACLES)
+QUERIES = {**queries.QUERIES, **nested_queries.QUERIES}
+ORACLES = {**queries.ORACLES, **nested_queries.ORACLES}
