@@ -45,14 +45,20 @@ def long_enough(text: Column, least: int = 5) -> Column:
     return F.size(tokens(text)) >= least
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(parts: Column, n: int = 5, least: int = 5) -> Column:
     """Runs of ``n`` parts joined by blanks; none below ``least`` parts, all parts together if there are fewer than ``n``."""
-    sliding = F.transform(F.sequence(F.lit(0), F.size(parts) - n), lambda i: F.array_join(F.slice(parts, i + 1, n), " "))
-    return (
-        F.when(F.size(parts) < least, F.array().cast("array<string>"))
-        .when(F.size(parts) < n, F.array(F.array_join(parts, " ")))
-        .otherwise(sliding)
-    )
+
+    def of(p: Column) -> Column:
+        sliding = F.transform(F.sequence(F.lit(0), F.size(p) - n), lambda i: F.array_join(F.slice(p, i + 1, n), " "))
+        short = F.when(F.size(p) < n, F.array(F.array_join(p, " "))).otherwise(sliding)
+        return F.when(F.size(p) < least, F.array().cast("array<string>")).otherwise(short)
+
+    return bound(parts, of)
 
 
 def shingles(text: Column, n: int = 5, least: int = 5) -> Column:

@@ -176,8 +176,8 @@ def cluster_remap(spark, folder):
 
 
 @query(
-    f"""WITH {_CLUSTERED}, n AS (SELECT *, row_number() OVER (ORDER BY cluster, doc_id) - 1 AS at FROM c),
-    edge AS (SELECT max(cluster) AS cut FROM (SELECT cluster, min(at) AS first FROM n GROUP BY cluster) WHERE first <= greatest((SELECT count(*) FROM n) - 200, 0))
+    f"""WITH {_CLUSTERED}, n AS (SELECT *, row_number() OVER (ORDER BY cluster, doc_id) - 1 AS place FROM c),
+    edge AS (SELECT max(cluster) AS cut FROM (SELECT cluster, min(place) AS first FROM n GROUP BY cluster) WHERE first <= greatest((SELECT count(*) FROM n) - 200, 0))
     SELECT doc_id, CASE WHEN cluster >= (SELECT cut FROM edge) THEN 'test' ELSE 'train' END AS split FROM n"""
 )
 def leak_free_split(spark, folder):
@@ -204,8 +204,8 @@ def dense_law_ids(spark, folder):
 
 
 @query(
-    """SELECT row_number() OVER (ORDER BY part, at) - 1 AS oid, dataset, md5(coalesce(text, '')) AS digest FROM (
-    SELECT 0 AS part, item_id AS at, 'eval' AS dataset, text FROM eval_items UNION ALL SELECT 1, doc_id, 'documents', text FROM documents)"""
+    """SELECT row_number() OVER (ORDER BY part, place) - 1 AS oid, dataset, md5(coalesce(text, '')) AS digest FROM (
+    SELECT 0 AS part, item_id AS place, 'eval' AS dataset, text FROM eval_items UNION ALL SELECT 1, doc_id, 'documents', text FROM documents)"""
 )
 def numbered_union(spark, folder):
     parts = [("eval", table(spark, folder, "eval_items").withColumnRenamed("item_id", "n")), ("documents", table(spark, folder, "documents").withColumnRenamed("doc_id", "n"))]
@@ -264,10 +264,10 @@ def law_datasets(spark, folder):
 
 
 @query(
-    """SELECT id, at - 1 AS at, content[at] AS paragraph FROM (SELECT id, content, unnest(range(1, len(content) + 1)) AS at FROM laws WHERE content IS NOT NULL)"""
+    """SELECT id, n - 1 AS place, content[n] AS paragraph FROM (SELECT id, content, unnest(range(1, len(content) + 1)) AS n FROM laws WHERE content IS NOT NULL)"""
 )
 def law_paragraphs(spark, folder):
-    return table(spark, folder, "laws").select("id", F.posexplode("content").alias("at", "paragraph")).select("id", F.col("at").cast("long"), "paragraph")
+    return table(spark, folder, "laws").select("id", F.posexplode("content").alias("place", "paragraph")).select("id", F.col("place").cast("long"), "paragraph")
 
 
 @query("SELECT source, count(DISTINCT d.doc_id) AS toxic FROM documents d JOIN doc_labels l ON d.doc_id = l.doc_id AND l.toxic = 1 GROUP BY source")
@@ -295,9 +295,9 @@ def _signatures_sql() -> str:
     values = ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())))
     return f"""w AS (SELECT doc_id, {_WORDS} AS w FROM {_DOCS} AND len({_PARTS}) >= 5),
     s AS (SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END) AS s FROM w),
-    h AS (SELECT doc_id, ('0x' || substr(d, 7, 2) || substr(d, 5, 2) || substr(d, 3, 2) || substr(d, 1, 2))::BIGINT AS h FROM (SELECT doc_id, sha1(s) AS d FROM s)),
-    p(i, a, b) AS (VALUES {values}),
-    m AS (SELECT doc_id, i, min(((a::HUGEINT * h + b) % 4294967296) % 4294967291) AS v FROM h, p GROUP BY doc_id, i),
+    h AS (SELECT doc_id, ('0x' || substr(d, 7, 2) || substr(d, 5, 2) || substr(d, 3, 2) || substr(d, 1, 2))::UBIGINT AS h FROM (SELECT doc_id, sha1(s) AS d FROM s)),
+    p(i, a, b) AS (SELECT i, a::UBIGINT, b::UBIGINT FROM (VALUES {values}) t(i, a, b)),
+    m AS (SELECT doc_id, i, min(((a * h) % 4294967296 + b) % 4294967296 % 4294967291) AS v FROM h, p GROUP BY doc_id, i),
     f AS (SELECT doc_id, p.i, coalesce(m.v, 4294967295) AS v FROM w CROSS JOIN p LEFT JOIN m USING (doc_id, i)),
     sig AS (SELECT doc_id, (i // {ROWS})::INT AS band, string_agg(v::VARCHAR, ',' ORDER BY i) AS sig FROM f GROUP BY 1, 2)"""
 
@@ -320,8 +320,8 @@ def lsh_candidates(spark, folder):
     return dedup.lsh_edges(stage(_signatures(spark, folder)), "doc_id")
 
 
-_COMPONENTS = """both AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
-    r(node, reached) AS (SELECT DISTINCT a, a FROM both UNION SELECT r.node, both.b FROM r JOIN both ON r.reached = both.a),
+_COMPONENTS = """linked AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+    r(node, reached) AS (SELECT DISTINCT a, a FROM linked UNION SELECT r.node, linked.b FROM r JOIN linked ON r.reached = linked.a),
     k AS (SELECT node, min(reached) AS component FROM r GROUP BY node)"""
 
 
@@ -498,8 +498,8 @@ def lexical_match(spark, folder):
 
 
 @query(
-    f"""WITH {_UNIT}, {_RANKED}, c AS (SELECT qid, rank, 'd' || (pid % 40) AS parent FROM top), n AS (SELECT *, row_number() OVER (PARTITION BY qid, parent ORDER BY rank) AS n FROM c)
-    SELECT qid, rank::INT AS rank, CASE WHEN n = 1 THEN parent ELSE 'already_exist' END AS pid FROM n"""
+    f"""WITH {_UNIT}, {_RANKED}, c AS (SELECT qid, rank, 'd' || (pid % 40) AS parent FROM top), o AS (SELECT *, row_number() OVER (PARTITION BY qid, parent ORDER BY rank) AS n FROM c)
+    SELECT qid, rank::INT AS rank, CASE WHEN n = 1 THEN parent ELSE 'already_exist' END AS pid FROM o"""
 )
 def chunk_collapse(spark, folder):
     found = _dense(spark, folder).withColumn("pid", F.concat(F.lit("d"), (F.col("pid") % 40).cast("string"), F.lit("_"), F.col("pid").cast("string")))
