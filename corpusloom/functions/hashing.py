@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from corpusloom.plans.spreading import spread
+
 # Modulus and mask of the permutations by number of bits.
 PERMUTATION_FIELD = {16: ((1 << 16) - 15, (1 << 16) - 1, np.uint16), 32: ((1 << 32) - 5, (1 << 32) - 1, np.uint32), 64: ((1 << 61) - 1, (1 << 64) - 1, np.uint64)}
 
@@ -75,7 +77,7 @@ def band_signatures(
 
     Rows without grams have the mask in every place and so share every band; a null array counts as none.
     """
-    source = df.select(F.col(key).alias("key"), F.coalesce(grams, F.array().cast("array<string>")).alias("grams"))
+    source = spread(df).select(F.col(key).alias("key"), F.coalesce(grams, F.array().cast("array<string>")).alias("grams"))
 
     def run(batches):
         prime, mask, kind = PERMUTATION_FIELD[bits]
@@ -97,7 +99,13 @@ def band_signatures(
                 least = np.full(count, mask, dtype=kind)
                 for at in range(0, len(hashes), 512):
                     part = np.array(hashes[at : at + 512], dtype=kind)
-                    least = np.minimum(least, ((part[:, None] * a[None, :] + b[None, :]) % kind(prime) & kind(mask)).min(axis=0))
+                    mixed = part[:, None] * a[None, :]
+                    mixed += b[None, :]
+                    if bits == 64:
+                        mixed %= kind(prime)
+                    else:  # below twice the prime, so one subtraction is the remainder
+                        np.subtract(mixed, kind(prime), out=mixed, where=mixed >= kind(prime))
+                    np.minimum(least, mixed.min(axis=0), out=least)
                 found.append(least)
             sigs = [",".join(map(str, s[i * rows : (i + 1) * rows])) for s in found for i in range(bands)]
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), bands)))

@@ -117,8 +117,8 @@ def strip_leading(text: Column) -> Column:
 
 def search_terms(text: Column, stop: list[str] | None = None) -> Column:
     """Lower-cased words without punctuation and stop words, repeated ones kept."""
-    stop_list = F.array(*map(F.lit, STOP_WORDS if stop is None else stop)) if stop is None or stop else F.array().cast("array<string>")
-    return F.filter(tokens(text), lambda t: (t != "") & (t != "_") & ~F.array_contains(stop_list, t))
+    ignored = ["", "_", *(STOP_WORDS if stop is None else stop)]
+    return F.filter(tokens(text), lambda t: ~t.isin(ignored))
 
 
 def parent_id(chunk: Column) -> Column:

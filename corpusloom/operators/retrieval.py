@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusloom.functions import text as T
+from corpusloom.plans.spreading import spread
 
 #: Numbers in one broadcast block of query vectors.
 BLOCK_NUMBERS = 16_000_000
@@ -94,7 +95,7 @@ def _matrix(column, metric: str) -> np.ndarray:
 
 def postings(docs: DataFrame, key: str, terms: Column) -> DataFrame:
     """``(pid, term, tf, dl)``: terms of each document with their count and the document's length."""
-    rows = docs.select(F.col(key).alias("pid"), terms.alias("_terms")).where("pid IS NOT NULL AND _terms IS NOT NULL")
+    rows = spread(docs).select(F.col(key).alias("pid"), terms.alias("_terms")).where("pid IS NOT NULL AND _terms IS NOT NULL")
     each = rows.select("pid", F.size("_terms").alias("dl"), F.explode("_terms").alias("term"))
     return each.groupBy("pid", "term", "dl").agg(F.count("*").alias("tf")).select("pid", "term", "tf", "dl")
 
