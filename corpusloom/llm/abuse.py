@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from corpusloom.llm.textform import consistent
+from corpusloom.plans.spreading import spread
 
 #: A document with this score or more is a case.
 CASE = 3.0
@@ -267,7 +268,7 @@ def score_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, score, kinds)`` for every row; null and empty texts score 0.  Other columns are not read."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = StructType([rows.schema["key"], StructField("score", DoubleType()), StructField("kinds", ArrayType(StringType()))])
-    return rows.mapInArrow(_scored, kind).select(F.col("key").alias(key), "score", "kinds")
+    return spread(rows).mapInArrow(_scored, kind).select(F.col("key").alias(key), "score", "kinds")
 
 
 def p10_scores(spark, folder: str) -> DataFrame:

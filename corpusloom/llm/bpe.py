@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from corpusloom.plans.staging import stage
+from corpusloom.plans.spreading import spread
 
 #: The vocabulary file in the folder of public tokenizers.
 TOKENIZERS = "/opt/tokenizers"
@@ -139,7 +140,7 @@ def encode_texts(df: DataFrame, key: str, text: str, tokenizers: str = TOKENIZER
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = StructType([rows.schema["key"], StructField("ids", ArrayType(IntegerType()))])
-    return rows.mapInArrow(_encode(f"{tokenizers}/{vocabulary}"), kind).select(F.col("key").alias(key), "ids")
+    return spread(rows).mapInArrow(_encode(f"{tokenizers}/{vocabulary}"), kind).select(F.col("key").alias(key), "ids")
 
 
 # -- token budgets -----------------------------------------------------------------------------
@@ -229,7 +230,7 @@ def token_counts(
     not null.  The counts of distinct pieces are joined to the rows by a broadcast up to
     ``broadcast_pieces``, beyond it by a shuffle of the rows' pieces, where rows need distinct ``keys``.
     """
-    rows = df.select(*keys, F.col(texts).alias("_texts"))
+    rows = spread(df.select(*keys, F.col(texts).alias("_texts")))
     pieces = stage(piece_counts(rows, "_texts", tokenizers, vocabulary))
     kind = StructType([*(rows.schema[k] for k in keys), StructField("passages", LongType()), StructField("tokens", LongType())])
     if pieces.count() <= broadcast_pieces:

@@ -27,6 +27,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from corpusloom.llm.wordsets import Memo, gather, hash_sets, identities, least_common, sketches, starts
 from corpusloom.plans.staging import stage
+from corpusloom.plans.spreading import spread
 
 #: Words of the evaluation strings of one block; a block is broadcast as about 40 bytes a word.
 BLOCK_WORDS = 2_000_000
@@ -242,7 +243,7 @@ def cross_overlaps(
         part = classes.where(F.pmod("h1", F.lit(blocks)) == block).select("words").toArrow().column("words").combine_chunks()
         lengths = part.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         index = build_index(num, den, part.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lengths)
-        pairs = rows.mapInArrow(_scan(spark.sparkContext.broadcast(index)), out)
+        pairs = spread(rows).mapInArrow(_scan(spark.sparkContext.broadcast(index)), out)
         found = pairs if found is None else found.union(pairs)
     return (
         found.distinct().join(held.select("id", "h1", "h2").distinct(), ["h1", "h2"])

@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from corpusloom.llm.textform import WORD, consistent
 from corpusloom.llm.wordsets import Memo, starts
 from corpusloom.plans.staging import stage
+from corpusloom.plans.spreading import spread
 
 #: Words of the items of one block, all of which are broadcast.
 BLOCK_WORDS = 1_000_000
@@ -125,6 +126,7 @@ def leaked_passages(
         raise ValueError("run must be 2 or more")
     spark = documents.sparkSession
     source = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
+    source = spread(source)
     asked = items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["item_id"])
     size = asked.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (2 * block_words)))

@@ -29,6 +29,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from corpusloom.llm.textform import words
 from corpusloom.llm.wordsets import Memo, gather, hash_sets, identities, least_common, sketches, starts
 from corpusloom.plans.staging import stage
+from corpusloom.plans.spreading import spread
 
 #: Words in more than 1 of this many records are ordered by frequency, all others come first in
 #: order of their hash; so at most (mean record size) * this many frequencies are broadcast.
@@ -375,7 +376,7 @@ def near_copies(
     exact = Fraction(str(threshold))
     num, den = exact.numerator, exact.denominator
     source = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    signed = stage(source.mapInArrow(_signatures(min_words), _signature_type(source.schema["id"].dataType)))
+    signed = stage(spread(source).mapInArrow(_signatures(min_words), _signature_type(source.schema["id"].dataType)))
 
     # the global order: words in more than 1 of FREQUENT_SHARE records by frequency, the others before them
     records, size = signed.agg(F.count("*"), F.avg("n")).first()
