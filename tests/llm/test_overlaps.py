@@ -52,6 +52,15 @@ def test_near_copies_classes_and_empty(spark):
     assert empty.classes.count() == 0 and nearcopies.pairs_of(empty).count() == 0
 
 
+def test_three_word_subsets(spark):
+    made = texts(5, 90, (24, 60), 120)
+    df = spark.createDataFrame(list(enumerate(made)), "k int, t string")
+    bands = [nearcopies.Band(5, 24, 1, 3, 0), nearcopies.Band(24, 1 << 30, 4, 3, 1)]
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if overlap(made[i], made[j]) >= 0.65 - 1e-12}
+    got = nearcopies.pairs_of(nearcopies.near_copies(df, "k", "t", 0.65, bands=bands)).collect()
+    assert {(r.a, r.b) for r in got} == want and want
+
+
 def test_allocation_keeps_the_pigeonhole():
     for records in (10, 10**6, 10**9):
         for band in nearcopies.allocate(13, 20, 5, records, 120.0, np.full(3000, records // 200)):
