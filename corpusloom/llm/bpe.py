@@ -228,7 +228,8 @@ def token_counts(
 
     Null and empty arrays, null and empty texts have no tokens; ``passages`` counts texts that are
     not null.  The counts of distinct pieces are joined to the rows by a broadcast up to
-    ``broadcast_pieces``, beyond it by a shuffle of the rows' pieces, where rows need distinct ``keys``.
+    ``broadcast_pieces``, beyond it by a shuffle of the rows' pieces.  Both ways give one row for each row
+    of ``df``: rows that are alike in keys and texts fall into one group there, whose sum is shared out.
     """
     rows = spread(df.select(*keys, F.col(texts).alias("_texts")))
     pieces = stage(piece_counts(rows, "_texts", tokenizers, vocabulary))
@@ -237,13 +238,17 @@ def token_counts(
         found = pieces.toArrow()
         table = tuple(found.column(c).combine_chunks() for c in ("piece", "tokens"))
         return rows.mapInArrow(_sum_counts(rows.sparkSession.sparkContext.broadcast(table)), kind)
-    split = StructType([*(rows.schema[k] for k in keys), StructField("piece", StringType()), StructField("times", LongType())])
-    per_row = rows.mapInArrow(_piece_rows, split).join(pieces, "piece").groupBy(*keys).agg(F.sum(F.col("times") * F.col("tokens")).alias("tokens"))
-    counted = rows.select(*keys, F.size(F.filter("_texts", lambda t: t.isNotNull())).alias("_size")).groupBy(*keys).agg(F.max("_size").alias("_size"))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    return counted.alias("l").join(per_row.alias("r"), same, "left").select(
-        *(F.col(f"l.{k}") for k in keys), F.greatest("_size", F.lit(0)).cast("long").alias("passages"), F.coalesce("tokens", F.lit(0)).alias("tokens")
-    )
+    marked = rows.withColumn("_mark", F.xxhash64("_texts")).select(*keys, "_mark", "_texts")
+    marks = [*keys, "_mark"]
+    split = StructType([*(marked.schema[k] for k in marks), StructField("piece", StringType()), StructField("times", LongType())])
+    per_row = marked.mapInArrow(_piece_rows, split).join(pieces, "piece").groupBy(*marks).agg(F.sum(F.col("times") * F.col("tokens")).alias("tokens"))
+    size = F.size(F.filter("_texts", lambda t: t.isNotNull()))
+    counted = marked.select(*marks, size.alias("_size")).groupBy(*marks).agg(F.max("_size").alias("_size"), F.count("*").alias("_copies"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in marks]
+    return (
+        counted.alias("l").join(per_row.alias("r"), same, "left").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+        .select(*(F.col(f"l.{k}") for k in keys), F.greatest("_size", F.lit(0)).cast("long").alias("passages"), F.expr("coalesce(tokens, 0) div _copies").alias("tokens"))
+    )
 
 
 def language(code: Column) -> Column:

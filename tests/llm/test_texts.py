@@ -51,6 +51,24 @@ def test_encoding(spark):
     assert [r.x for r in code.collect()] == ["vi", "en", "und", "und", "fr"]
 
 
+def test_token_counts_of_repeated_rows(spark):
+    rows = [(1, "a", ["một hai ba", None]), (1, "a", ["một hai ba", None]), (1, "a", ["bốn"]), (1, None, ["x y"]), (1, None, ["x y"]), (2, "a", None), (2, "a", None), (3, "b", ["một một"])]
+    df = spark.createDataFrame(rows, "k int, s string, texts array<string>")
+    fast, slow = (sorted(map(str, bpe.token_counts(df, ["k", "s"], "texts", broadcast_pieces=n).collect())) for n in (1000, 0))
+    assert fast == slow and len(fast) == len(rows)
+
+
+def test_documents_delivered_twice(spark, tmp_path, monkeypatch):
+    corpus = [("điều một hai ba", "d", 1, "vi", "x")] * 2 + [("khoản bốn", "d", 2, "vi", "x")]
+    spark.createDataFrame(corpus, "text string, dataset string, oid long, lang string, domain string").write.parquet(f"{tmp_path}/temp_legal_corpus_withstpvl.parquet")
+    mined = [(1, ["một"], ["hai", "ba"], "s", "en", "x")] * 2
+    spark.createDataFrame(mined, "sample_id long, pos array<string>, neg array<string>, source string, lang string, domain string").write.parquet(f"{tmp_path}/train_data_minedhn.parquet")
+    fast = sorted(map(tuple, bpe.p7_budget(spark, str(tmp_path)).collect()))
+    count = bpe.token_counts
+    monkeypatch.setattr(bpe, "token_counts", lambda *a: count(*a, broadcast_pieces=0))
+    assert sorted(map(tuple, bpe.p7_budget(spark, str(tmp_path)).collect())) == fast and [r[4] for r in fast] == [2, 1]
+
+
 QUESTION = "Doanh nghiệp Bình Minh có phải nộp bản kê chi tiết khi thanh toán tiền lương ở huyện Sơn Hà hay không?"
 SOUND = [
     "Có.", "Theo khoản 5 Điều 12 Luật số 3/2040/QH21, doanh nghiệp phải nộp bản kê chi tiết trong thời hạn 5 ngày.",
