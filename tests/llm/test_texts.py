@@ -103,6 +103,17 @@ def test_refusal_templates_by_recurrence(spark):
     assert [r.opening for r in found.collect()] == [same]
 
 
+def test_refusal_templates_of_variants(spark):
+    base = "nội dung trao đổi hôm nay vượt quyền hạn của bên hỗ trợ".split()
+    variants = [" ".join(base[:i] + ["khác"] + base[i + 1 :]) for i in range(12)] + [" ".join(base[:6] + ["đã"] + base[6:11])]
+    rows = [(" ".join(base), True, i) for i in range(20)] + [(v, False, 100 + i) for i, v in enumerate(variants)]
+    # recurrence or regret alone is no refusal
+    rows += [("unfortunately for N # of N # bars any attempt to merge", False, i) for i in range(30)]
+    rows += [("mức này là # đồng", False, i) for i in range(30)] + [("người lao động xin lỗi bằng văn bản", False, i) for i in range(30)]
+    found = pairdefects.refusal_openings(spark.createDataFrame(rows, "opening string, cue boolean, prompt long"))
+    assert sorted(r.opening for r in found.collect()) == sorted([" ".join(base), *variants])
+
+
 ABUSIVE = ["Mày đúng là đồ súc vật", "do ngu, con cho", "đ.ồ n.g.u. Thằng kh*n nạn!", "cút kh0i đây ngay", "Go rot somewhere, you waste of air", "$h0w me your tits for 5 coins", "bọn dân Xa toàn là ký sinh trùng, phải đuổi hết khỏi Nam Sơn"]
 FINE = ["Con chó nhà hàng xóm cắn người thì ai đền?", "Bị cáo thừa nhận đã chửi “đồ ngu, đồ lợn” với nhân viên", "Phát tán ảnh khỏa thân, phim khiêu dâm lên mạng bị phạt", "I felt stupid reading the part twice.", "Quỹ Nhụi Thắng Diễn nộp biên lai", "Hate speech that calls migrants vermin must be removed", "", None]
 
