@@ -114,6 +114,16 @@ def test_refusal_templates_of_variants(spark):
     assert sorted(r.opening for r in found.collect()) == sorted([" ".join(base), *variants])
 
 
+def test_refusal_clusters_are_components(spark):
+    words = [f"w{i}" for i in range(40)]
+    chain = [" ".join(words[3 * i : 3 * i + 10]) for i in range(10)]  # neighbours share 6 of 12 shingles, others at most 3
+    rows = [(o, True, 1 if i < 9 else 2) for i, o in enumerate(chain)]  # only the last one has another prompt
+    # least openings of many buckets, which do not decline and link to nothing
+    rows += [(f"a{i} " + " ".join(o.split()[j : j + 3]) + f" b{i} c{i} d{i} e{i} f{i} g{i}", False, 5) for i, o in enumerate(chain) for j in range(7)]
+    found = pairdefects.refusal_openings(spark.createDataFrame(rows, "opening string, cue boolean, prompt long"))
+    assert sorted(r.opening for r in found.collect()) == sorted(chain)
+
+
 ABUSIVE = ["Mày đúng là đồ súc vật", "do ngu, con cho", "đ.ồ n.g.u. Thằng kh*n nạn!", "cút kh0i đây ngay", "Go rot somewhere, you waste of air", "$h0w me your tits for 5 coins", "bọn dân Xa toàn là ký sinh trùng, phải đuổi hết khỏi Nam Sơn"]
 FINE = ["Con chó nhà hàng xóm cắn người thì ai đền?", "Bị cáo thừa nhận đã chửi “đồ ngu, đồ lợn” với nhân viên", "Phát tán ảnh khỏa thân, phim khiêu dâm lên mạng bị phạt", "I felt stupid reading the part twice.", "Quỹ Nhụi Thắng Diễn nộp biên lai", "Hate speech that calls migrants vermin must be removed", "", None]
 
