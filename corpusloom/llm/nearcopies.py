@@ -11,13 +11,20 @@ of its segments; for a segment of k + 1 words these are its one-deletion
 neighbourhood.  g and k are allocated per size band by estimated cost from corpus statistics.
 
 The smaller record of a pair needs l words beyond |s| - o(s, s) (it is indexed), the larger
-one beyond |r| - o(r, least partner) (it probes).  Candidates are found per segment inside
-one task, where a 256-bit parity sketch gives a lower bound of the difference and rules
+one beyond |r| - o(r, least partner) (it probes).  Candidates are found in groups of one segment and one bucket of first words, each inside one
+task, where a 256-bit parity sketch gives a lower bound of the difference and rules
 out nearly all false ones before anything is shuffled; the rest are verified on their words.
+
+What is sent: a record has an entry (id, size, sketch, and two or three bytes for each word that may follow) in each
+group that one of its first words belongs to.  It has at most n - ceil(t n) + 1 first words whatever the
+allocation, so the bytes of a record are bounded at any size of the collection; first words that too many
+records have are told apart by their second word, with one entry for each.  The search runs in
+rounds over the groups if it would fill the disks at once.
 """
 from __future__ import annotations
 
 import itertools
+import math
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -34,8 +41,11 @@ from corpusloom.plans.spreading import spread
 #: Words in more than 1 of this many records are ordered by frequency, all others come first in
 #: order of their hash; so at most (mean record size) * this many frequencies are broadcast.
 FREQUENT_SHARE = 2000
-#: Records that one task of the candidate search is meant to hold.
-TASK_RECORDS = 400_000
+#: Records that one task of the candidate search is meant to hold, about 150 bytes each.
+TASK_RECORDS = 3_000_000
+#: Bytes of an entry without its codes, and bytes a round of the candidate search may send for each distinct word
+#: of a record (texts have 3 to 6 bytes for each distinct word when compressed).
+ENTRY_BYTES, ROUND_BYTES = 44, 8
 #: Ids broadcast to fetch texts for verification; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 _STEP = 4096  # rows handled at once: 12 bits of a sort key
@@ -52,6 +62,11 @@ class Band:
     subset: int
     base: int  # number of the first segment
 
+    @property
+    def width(self) -> int:
+        """Bytes of a code; words whose codes are equal by chance only give candidates that the sketch rules out."""
+        return 2 if self.subset == 3 else 3
+
     @property
     def shared(self) -> int:
         return self.segments * (self.subset - 1) + 1
@@ -137,10 +152,10 @@ def allocate(num: int, den: int, minimum: int, records: int, mean_size: float, f
     cumulated = rare + np.cumsum(share)
     collisions = rare / FREQUENT_SHARE + np.cumsum(share**2)  # expected common words of two records, up to there
     bands, base = [], 0
-    edges = sorted({max(minimum, 1), 24, 96, 384, 1536})
-    edges = [e for e in edges if e >= max(minimum, 1)]
+    least_size = max(minimum, 1)
+    edges = sorted({least_size, *(max(least_size, int(mean_size * x)) for x in (0.25, 4, 16))})
     for lo, hi in zip(edges, [*edges[1:], 1 << 30]):
-        size = lo * 1.5
+        size = mean_size if lo <= mean_size < hi else lo * 1.5
         best = None
         for segments, subset in itertools.product((1, 2, 3, 4, 6, 8, 12, 16, 24, 36, 48), (1, 2, 3)):
             shared = segments * (subset - 1) + 1
@@ -160,7 +175,7 @@ def allocate(num: int, den: int, minimum: int, records: int, mean_size: float, f
     return bands
 
 
-# -- index and probe rows -------------------------------------------------------------------
+# -- index and probe entries ----------------------------------------------------------------
 
 
 def _mix(values: np.ndarray, salt: int) -> np.ndarray:
@@ -173,31 +188,84 @@ class _Plan:
     num: int
     den: int
     bands: tuple
+    buckets: tuple  # for each band: buckets of first words in a segment
     common: np.ndarray  # frequent words, sorted by hash
-    rank: np.ndarray  # their place in the global order, from 1
+    rank: np.ndarray  # their place in the global order, from 0
+    by_rank: np.ndarray  # frequent words in the global order
     hot: np.ndarray  # words in more records than a task is meant to hold, sorted
-    hot_blocks: np.ndarray  # blocks into which the records of each are cut
-    buckets: int
+    blocks: np.ndarray  # how many times as many records have each of them
+    rounds: int = 1
+
+
+def buckets_needed(records: float, starts_each: float, task_records: int) -> int:
+    """The fewest buckets of first words such that a bucket gets at most ``task_records`` of the records."""
+    if records <= task_records:
+        return 1
+    return max(1, math.ceil(1 / (1 - (1 - task_records / records) ** (1 / max(starts_each, 1.0)))))
+
+
+def _ordered(n: np.ndarray, words32: np.ndarray, plan: _Plan) -> tuple[np.ndarray, np.ndarray]:
+    """The record of each word and the words, in global order inside each record."""
+    rows = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    place = words32.view(np.uint32).astype(np.uint64)
+    if len(plan.common):
+        at = np.minimum(np.searchsorted(plan.common, words32.view(np.uint32)), len(plan.common) - 1)
+        known = plan.common[at] == words32.view(np.uint32)
+        place[known] = plan.rank[at[known]].astype(np.uint64) | _U(1 << 32)
+    order = np.sort(rows << _U(40) | place)  # 24 bits for the record of a step, 40 for the place in the order
+    rows, place = (order >> _U(40)).astype(np.int64), order & _U((1 << 40) - 1)
+    word = (place & _U(0xFFFFFFFF)).astype(np.uint32)
+    frequent = place >> _U(32) != 0
+    word[frequent] = plan.by_rank[word[frequent]]
+    return rows, word
+
+
+def _spread_hot(plan: _Plan, band: Band, h1: np.ndarray, row: np.ndarray, word: np.ndarray, left: np.ndarray, f: np.ndarray, blocks: np.ndarray) -> list[tuple]:
+    """(entry it comes from, sub-group, start) for first words that too many records have.
+
+    Up to three times a task, or with subsets of one word, the records of a word are cut into blocks
+    by hash and meet in a group for each pair of blocks.  Beyond that the group is the first word with a bucket
+    of second words: that costs at most one copy for each word of the segment, however many records there are.
+    """
+    found = []
+    cut = (blocks <= 3) | (band.subset == 1)
+    for fits in (True, False):
+        k = np.nonzero(cut == fits)[0]
+        if not len(k):
+            continue
+        p = f[k]
+        if fits:
+            times = blocks[k]
+            mine = (h1[row[p]] % times.astype(np.uint64)).astype(np.int64)
+            each = np.repeat(np.arange(len(k)), times)
+            other = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+            a, b = np.minimum(mine[each], other), np.maximum(mine[each], other)
+            sub = _mix(word[p[each]].astype(np.uint64) << _U(24) | (a << 12).astype(np.uint64) ^ b.astype(np.uint64), 17) | _U(1 << 62)
+            found.append((p[each], sub.astype(np.int64), p[each]))
+        else:
+            times = left[p] - 1 - (band.subset - 2)
+            each = np.repeat(np.arange(len(k)), times)
+            second = p[each] + 1 + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+            of = _mix(word[second], 19) % (blocks[k][each] * 8).astype(np.uint64)
+            sub = _mix(word[p[each]].astype(np.uint64) << _U(24) ^ of, 23) | _U(1 << 61)
+            found.append((p[each], sub.astype(np.int64), second))
+    return found
 
 
-def _prefix_rows(n: np.ndarray, words32: np.ndarray, h1: np.ndarray, plan: _Plan) -> list[tuple]:
-    """For each (record, segment, bucket): segment, bucket, record, codes, length.
+def _entries(n: np.ndarray, words32: np.ndarray, h1: np.ndarray, plan: _Plan) -> list[tuple]:
+    """For each band: key, sub-group, record, codes, their number and bytes, an entry for each record and sub-group.
 
-    A code is a word with bit 0 set if it is in the prefix under which its record is indexed, and
-    bit 1 if subsets that begin with it belong to this bucket.
+    The key is the segment with the bytes of a code and the subset size in its low bits.
+
+    A code has bits of a word above its three marks: bit 0 tells that it is in the prefix under which its record is indexed,
+    bit 1 that subsets that begin with it belong to this sub-group, bit 2 that it is the entry's last one.
     """
     num, den = plan.num, plan.den
-    rows = np.repeat(np.arange(len(n), dtype=np.uint64), n)
-    token = words32.view(np.uint32)
-    at = np.minimum(np.searchsorted(plan.common, token), max(len(plan.common) - 1, 0))
-    known = plan.common[at] == token if len(plan.common) else np.zeros(len(token), bool)
-    rank = np.where(known, plan.rank[at] if len(plan.common) else 0, 0).astype(np.uint64)
-    order = np.sort(rows << _U(52) | rank << _U(32) | token.astype(np.uint64))
-    rows, token = (order >> _U(52)).astype(np.int64), (order & _U(0xFFFFFFFF)).astype(np.uint32)
+    rows, token = _ordered(n, words32, plan)
     place = np.arange(len(token), dtype=np.int64) - starts(n)[rows]
     least = -(-num * n // den)  # the fewest words of a partner
     found = []
-    for band in plan.bands:
+    for band, buckets in zip(plan.bands, plan.buckets):
         own = (n >= band.lo) & (n < band.hi)
         probing = (n >= band.lo) & (least < band.hi)
         smallest = np.maximum(least, band.lo)
@@ -207,45 +275,51 @@ def _prefix_rows(n: np.ndarray, words32: np.ndarray, h1: np.ndarray, plan: _Plan
         if not len(kept):
             continue
         segment = (_mix(token[kept], 7) % _U(band.segments)).astype(np.int64)
-        code = (token[kept] & np.uint32(0xFFFFFFFC)).astype(np.int64) | (place[kept] < index_to[rows[kept]])
         by = np.argsort(rows[kept] * band.segments + segment, kind="stable")
-        row, segment, code = rows[kept][by], segment[by], code[by]
+        row, segment, word = rows[kept][by], segment[by], token[kept][by]
+        indexed = (place[kept] < index_to[rows[kept]])[by]
+        code = (_mix(word, 13) & _U((1 << (8 * band.width - 3)) - 1)).astype(np.uint32) << np.uint32(3) | indexed
         group = np.cumsum(np.concatenate([[True], (row[1:] != row[:-1]) | (segment[1:] != segment[:-1])])) - 1
         size = np.bincount(group)
-        begin = starts(size)
-        left = begin[1:][group] - np.arange(len(group))  # words from here to the end of the segment
-        first = (left >= band.subset) & (size[group] >= band.subset)
-        f = np.nonzero(first)[0]
+        end = starts(size)[1:]
+        left = end[group] - np.arange(len(group))  # words from here to the end of the segment
+        f = np.nonzero((left >= band.subset) & (size[group] >= band.subset))[0]
         if not len(f):
             continue
-        word = code[f].astype(np.uint32)
-        bucket = (_mix(word & np.uint32(0xFFFFFFFC), 11) % _U(plan.buckets)).astype(np.int64)
-        pairs = [(group[f], bucket, f)]
+        bucket = (_mix(word[f], 11) % _U(buckets)).astype(np.int64)
+        parts = [(f, bucket, f)]
         if len(plan.hot):
-            k = np.minimum(np.searchsorted(plan.hot, word & np.uint32(0xFFFFFFFC)), len(plan.hot) - 1)
-            is_hot = plan.hot[k] == (word & np.uint32(0xFFFFFFFC))
-            pairs = [(group[f][~is_hot], bucket[~is_hot], f[~is_hot])]
-            for g, p, w, blocks in zip(group[f][is_hot], f[is_hot], word[is_hot], plan.hot_blocks[k[is_hot]]):
-                mine = int(h1[row[p]] % _U(blocks))
-                for other in range(blocks):
-                    a, b = sorted((mine, other))
-                    code_of = (1 << 62) | int(w >> np.uint32(2)) << 24 | a << 12 | b
-                    pairs.append((np.array([g]), np.array([code_of]), np.array([p])))
-        g, b, p = (np.concatenate(x) for x in zip(*pairs))
-        by = np.lexsort((b, g))
-        g, b, p = g[by], b[by], p[by]
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (b[1:] != b[:-1])])
-        out = np.cumsum(new) - 1
-        g0, b0 = g[new], b[new]
-        taken = gather(begin[g0], size[g0])
-        codes = code[taken]
-        out_begin = starts(size[g0])
-        codes[out_begin[out] + (p - begin[g])] |= 2
-        found.append((band.base + segment[begin[g0]], b0, row[begin[g0]], codes, size[g0]))
+            k = np.minimum(np.searchsorted(plan.hot, word[f]), len(plan.hot) - 1)
+            is_hot = plan.hot[k] == word[f]
+            parts = [(f[~is_hot], bucket[~is_hot], f[~is_hot]), *_spread_hot(plan, band, h1, row, word, left, f[is_hot], plan.blocks[k[is_hot]])]
+        source, sub, start = (np.concatenate(x) for x in zip(*parts))
+        by = np.lexsort((start, sub, group[source]))
+        source, sub, start = source[by], sub[by], start[by]
+        new = np.concatenate([[True], (group[source][1:] != group[source][:-1]) | (sub[1:] != sub[:-1])])
+        entry = np.cumsum(new) - 1
+        begin, sub = start[new], sub[new]
+        length = end[group[begin]] - begin
+        codes = code[gather(begin, length)]
+        at = starts(length)
+        codes[at[:-1][entry] + start - begin[entry]] |= np.uint32(2)
+        codes[at[1:] - 1] |= np.uint32(4)
+        subset = np.where(sub >> 61 == 1, band.subset - 1, band.subset)
+        found.append(((band.base + segment[begin]) * 16 + band.width * 4 + subset, sub, row[begin], codes, length, band.width))
     return found
 
 
-def _index_rows(broadcast):
+def _bytes(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values).view(np.uint8)
+
+
+def _packed(cells: pa.Array, each: np.ndarray) -> pa.Array:
+    """Bytes cut into binary values of ``each`` length."""
+    return pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(starts(each).astype(np.int32)), pa.py_buffer(cells)])
+
+
+def _index_rows(broadcast, turn: int = 0):
+    """Entries packed by group: for each batch one row for each group, with its entries one after another."""
+
     def run(batches):
         plan = broadcast.value
         sent = set()
@@ -254,43 +328,72 @@ def _index_rows(broadcast):
                 part = batch.slice(at, _STEP)
                 h1 = part.column(0).to_numpy().view(np.uint64)
                 fresh = np.zeros(len(h1), bool)
-                for i, identity in enumerate(zip(h1.tolist(), part.column(1).to_pylist())):
+                for i, identity in enumerate(h1.tolist()):
                     if identity not in sent:  # equal records of a task are sent once
                         sent.add(identity)
                         fresh[i] = True
+                if len(sent) > 2_000_000:
+                    sent.clear()
                 part = part.filter(pa.array(fresh))
                 if not part.num_rows:
                     continue
                 h1 = h1[fresh]
-                n = part.column(2).to_numpy().astype(np.int64)
-                values = part.column(7).flatten().to_numpy()
-                sketch = [part.column(c).to_numpy() for c in (3, 4, 5, 6)]
-                for segment, bucket, row, codes, size in _prefix_rows(n, values, h1, plan):
-                    lists = pa.ListArray.from_arrays(pa.array(starts(size), pa.int32()), pa.array(codes.astype(np.uint32).view(np.int32)))
-                    arrays = [pa.array(segment.astype(np.int32)), pa.array(bucket), pa.array(h1[row].view(np.int64)), pa.array(n[row].astype(np.int32))]
-                    arrays += [pa.array(s[row]) for s in sketch] + [lists]
-                    yield pa.RecordBatch.from_arrays(arrays, ["segment", "bucket", "h1", "n", "s0", "s1", "s2", "s3", "codes"])
+                n = part.column(1).to_numpy().astype(np.int64)
+                sketch = np.stack([part.column(c).to_numpy() for c in (2, 3, 4, 5)], axis=1)
+                for key, sub, row, codes, length, width in _entries(n, part.column(6).flatten().to_numpy(), h1, plan):
+                    if plan.rounds > 1:
+                        mine = _mix(_mix(sub.astype(np.uint64), 29) ^ key.astype(np.uint64), 31) % _U(plan.rounds) == turn
+                        kept = np.nonzero(mine)[0]
+                        codes = codes[gather(starts(length)[:-1][kept], length[kept])]
+                        key, sub, row, length = key[kept], sub[kept], row[kept], length[kept]
+                        if not len(key):
+                            continue
+                    by = np.lexsort((sub, key))
+                    codes = codes[gather(starts(length)[:-1][by], length[by])]
+                    key, sub, row, length = key[by], sub[by], row[by], length[by]
+                    first = np.nonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])]))[0]
+                    count = np.diff(np.append(first, len(key)))
+                    total = np.add.reduceat(length, first)
+                    small = _bytes(codes).reshape(-1, 4)[:, :width]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(key[first].astype(np.int32)), pa.array(sub[first]), _packed(_bytes(h1[row]), 8 * count), _packed(_bytes(n[row].astype(np.uint32)), 4 * count),
+                            _packed(_bytes(sketch[row]).reshape(-1), 32 * count), _packed(np.ascontiguousarray(small).reshape(-1), width * total),
+                        ],
+                        ["key", "sub", "h1", "n", "sketch", "codes"],
+                    )
 
     return run
 
 
-_INDEX_TYPE = "segment int, bucket long, h1 long, n int, s0 long, s1 long, s2 long, s3 long, codes array<int>"
+_INDEX_TYPE = "key int, sub long, h1 binary, n binary, sketch binary, codes binary"
+
 
+# -- candidates of one group ------------------------------------------------------------------
 
-# -- candidates of one segment ----------------------------------------------------------------
 
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of all binary values one after another."""
+    parts = [np.frombuffer(c.buffers()[2], np.uint8)[_offset(c, 0) : _offset(c, len(c))] for c in column.chunks if len(c)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
-def _subset_keys(codes: np.ndarray, lengths: np.ndarray, subset: int) -> np.ndarray:
-    """Sorted keys of all subsets that begin with a word of this bucket: 38 bits of the subset's hash, 25 of the record, 1 if indexed."""
+
+def _offset(array: pa.Array, at: int) -> int:
+    kind = np.int64 if pa.types.is_large_binary(array.type) else np.int32
+    return int(np.frombuffer(array.buffers()[1], kind)[array.offset + at])
+
+
+def _subset_keys(codes: np.ndarray, lengths: np.ndarray, subset: int, opening: np.ndarray) -> np.ndarray:
+    """Sorted keys of all subsets that begin with an opening code: the subset's hash, the record, and 1 bit if indexed."""
+    bits = record_bits(len(lengths))
     begin = starts(lengths)
     document = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
     left = begin[1:][document] - np.arange(len(codes), dtype=np.int64)
-    word = (codes & np.uint32(0xFFFFFFFC)).astype(np.uint64)
-    opening = (codes & np.uint32(2)) != 0
+    word = (codes >> np.uint32(3)).astype(np.uint64)
+    open_at = np.nonzero(opening)[0]
     keys = []
-    longest = int(lengths.max(initial=0))
-    for steps in itertools.combinations(range(1, longest), subset - 1):
-        i = np.nonzero(opening & (left > (steps[-1] if steps else 0)))[0]
+    for steps in itertools.combinations(range(1, int(lengths.max(initial=0))), subset - 1):
+        i = open_at[left[open_at] > (steps[-1] if steps else 0)]
         if not len(i):
             continue
         h = _mix(word[i], 3)
@@ -298,57 +401,115 @@ def _subset_keys(codes: np.ndarray, lengths: np.ndarray, subset: int) -> np.ndar
         for step in steps:
             last = i + step
             h = _mix(h ^ (word[last] * _U(0xD6E8FEB86659FD93)), 5)
-        keys.append(h >> _U(2) << _U(26) | document[i].astype(np.uint64) << _U(1) | (codes[last] & np.uint32(1)).astype(np.uint64))
+        keys.append(_mix(h, 9) << _U(bits + 1) | document[i].astype(np.uint64) << _U(1) | (codes[last] & np.uint32(1)).astype(np.uint64))
     return np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
 
 
-def _candidates(num: int, den: int, subsets: dict, chunk: int = 400_000):
+def record_bits(records: int) -> int:
+    """Bits for the number of a record in its group; what is left of 64 holds the hash of a subset."""
+    bits = max(1, int(records).bit_length())
+    if bits > 40:
+        raise ValueError(f"{records} records in one group; lower task_records")
+    return bits
+
+
+def _candidates(num: int, den: int, chunk: int = 400_000, keys_at_once: int = 6_000_000):
     """Pairs of records that share a subset and can overlap enough by size and sketch."""
 
     def run(tbl: pa.Table) -> pa.Table:
-        tbl = tbl.combine_chunks()
-        column = {c: tbl.column(c).combine_chunks() for c in ("h1", "n", "s0", "s1", "s2", "s3", "codes")}
-        subset = subsets[tbl.column("segment")[0].as_py()]
-        h1, n = column["h1"].to_numpy().view(np.uint64), column["n"].to_numpy().astype(np.int64)
-        sketch = [column[f"s{j}"].to_numpy().view(np.uint64) for j in range(4)]
-        lists = column["codes"]
-        lengths, codes = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy().view(np.uint32)
-        identity = h1 * _U(3) + sketch[0] * _U(5) + sketch[1] * _U(7) + sketch[2] * _U(11) + sketch[3] * _U(13)
-        _, one = np.unique(identity, return_index=True)  # equal records sent by several tasks
+        key = tbl.column("key")[0].as_py()
+        subset, width = key % 4, key // 4 % 4
+        h1 = _unpacked(tbl.column("h1")).view(np.uint64)
+        n = _unpacked(tbl.column("n")).view(np.int32)
+        sketch = _unpacked(tbl.column("sketch")).view(np.uint64).reshape(-1, 4)
+        small = _unpacked(tbl.column("codes")).reshape(-1, width)
+        codes = np.zeros(len(small), np.uint32)
+        for i in range(width):
+            codes |= small[:, i].astype(np.uint32) << np.uint32(8 * i)
+        lengths = np.diff(np.nonzero(codes & np.uint32(4))[0], prepend=-1)
+        del small, tbl
+        _, one = np.unique(h1, return_index=True)  # equal records sent by several tasks
         one = one[np.argsort(n[one], kind="stable")]
         codes = codes[gather(starts(lengths)[:-1][one], lengths[one])]
-        h1, n, lengths, sketch = h1[one], n[one], lengths[one], [s[one] for s in sketch]
-        keys = _subset_keys(codes, lengths, subset)
-        document = ((keys >> _U(1)) & _U(0x1FFFFFF)).astype(np.int32)
-        largest = np.searchsorted(n, n * den // num, side="right")  # the first record too large for each
-        use = np.nonzero((keys & _U(1)) != 0)[0]  # the smaller record of a pair is indexed
-        end = np.searchsorted(keys, (keys[use] >> _U(26) << _U(26)) | (largest[document[use]].astype(np.uint64) << _U(1)))
-        count = np.maximum(end - use - 1, 0)
-        use, count = use[count > 0], count[count > 0]
-        del keys, end
-        total = np.cumsum(count)
-        results, at = [], 0
-        while at < len(use):
-            to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk, side="right")), at + 1)
-            i = use[at:to]
-            other = document[gather(i + 1, count[at:to])].astype(np.int64)
-            mine = np.repeat(document[i], count[at:to]).astype(np.int64)
-            at = to
-            both = n[mine] + n[other]
-            apart = both - 2 * least_common(num, den, both)
-            for first, second in ((0, 1), (2, 3)):
-                seen = sum(np.bitwise_count(sketch[j][mine] ^ sketch[j][other]).astype(np.int64) for j in range(first, second + 1))
-                apart = apart - seen
-                keep = (apart >= 0) & (mine != other)
-                mine, other, apart = mine[keep], other[keep], apart[keep]
-            results.append(np.unique(mine * len(n) + other))
-        pairs = np.unique(np.concatenate(results)) if results else np.zeros(0, np.int64)
+        h1, n, lengths, sketch = h1[one], n[one], lengths[one], sketch[one]
+        largest = np.searchsorted(n, n.astype(np.int64) * den // num, side="right")  # the first record too large for each
+        opening = (codes & np.uint32(2)) != 0
+        each = np.mean([math.comb(int(x), subset) for x in lengths[:1000]]) if len(lengths) else 0.0
+        parts = max(1, int(each * len(lengths) // keys_at_once) + 1)
+        of = _mix(codes >> np.uint32(3), 37) % _U(parts) if parts > 1 else None
+        results = []
+        for part in range(parts):
+            results.append(_pairs_of_keys(_subset_keys(codes, lengths, subset, opening if of is None else opening & (of == part)), n, sketch, largest, num, den, chunk))
+        pairs = np.unique(np.concatenate(results))
         a, b = h1[pairs // max(len(n), 1)].view(np.int64), h1[pairs % max(len(n), 1)].view(np.int64)
         return pa.table({"x": np.minimum(a, b), "y": np.maximum(a, b)})
 
     return run
 
 
+def _pairs_of_keys(keys: np.ndarray, n: np.ndarray, sketch: np.ndarray, largest: np.ndarray, num: int, den: int, chunk: int) -> np.ndarray:
+    """Pairs, as one number each, of an indexed record and a larger one under equal keys that the sketch doesn't rule out."""
+    bits = record_bits(len(n))
+    document = ((keys >> _U(1)) & _U((1 << bits) - 1)).astype(np.int64)
+    use = np.nonzero((keys & _U(1)) != 0)[0]  # the smaller record of a pair is indexed
+    end = np.searchsorted(keys, (keys[use] >> _U(bits + 1) << _U(bits + 1)) | (largest[document[use]].astype(np.uint64) << _U(1)))
+    count = np.maximum(end - use - 1, 0)
+    use, count = use[count > 0], count[count > 0]
+    total = np.cumsum(count)
+    results, at = [np.zeros(0, np.int64)], 0
+    while at < len(use):
+        to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk, side="right")), at + 1)
+        i = use[at:to]
+        other = document[gather(i + 1, count[at:to])]
+        mine = np.repeat(document[i], count[at:to])
+        at = to
+        both = n[mine].astype(np.int64) + n[other]
+        apart = both - 2 * least_common(num, den, both)
+        for j in (0, 2):
+            apart = apart - np.bitwise_count(sketch[mine, j : j + 2] ^ sketch[other, j : j + 2]).sum(axis=1, dtype=np.int64)
+            keep = (apart >= 0) & (mine != other)
+            mine, other, apart = mine[keep], other[keep], apart[keep]
+        results.append(np.unique(mine * len(n) + other))
+    return np.unique(np.concatenate(results))
+
+
+def _band_records(signed: DataFrame, bands: list[Band], num: int, den: int) -> list[tuple[int, float]]:
+    """For each band, how many records are indexed or probe in it, and their mean size."""
+    if not bands:
+        return []
+    sums = []
+    for i, b in enumerate(bands):
+        inside = (F.col("n") >= b.lo) & (F.ceil(F.col("n") * num / den) < b.hi)
+        sums += [F.sum(inside.cast("long")).alias(f"c{i}"), F.avg(F.when(inside, F.col("n"))).alias(f"m{i}")]
+    row = signed.agg(*sums).first()
+    return [(row[f"c{i}"] or 0, row[f"m{i}"] or 0.0) for i in range(len(bands))]
+
+
+def make_plan(
+    num: int, den: int, bands: list[Band], held: list[tuple[int, float]], tokens: np.ndarray, counts: np.ndarray, records: int, size: float, task_records: int, cores: int,
+) -> _Plan:
+    """Groups of at most about ``task_records`` records, and rounds such that a round sends a bounded share of the input.
+
+    A record has at most n - ceil(t n) + 1 first words in all its segments, whatever the allocation, so
+    the copies of a record stay below that number at any size of the collection.
+    """
+    buckets, sent = [], 0.0
+    for band, (inside, mean) in zip(bands, held):
+        first = (mean * (1 - num / den) + 1) / band.segments  # first words in a segment
+        need = buckets_needed(inside, first, task_records)
+        if inside > 10_000:
+            need = max(need, -(-cores // band.segments))
+        buckets.append(need)
+        copies = band.segments * need * (1 - (1 - 1 / need) ** first)
+        sent += inside * copies * (ENTRY_BYTES + band.width * (first + band.subset - 1) / (1 if need == 1 else 2))
+    by = np.argsort(tokens)
+    hot = np.nonzero(counts > task_records)[0]
+    hot = hot[np.argsort(tokens[hot])]
+    blocks = -(-counts[hot] // task_records)
+    rounds = max(1, math.ceil(sent / max(records * size * ROUND_BYTES, 1)))
+    return _Plan(num, den, tuple(bands), tuple(buckets), tokens[by], by.astype(np.uint64), tokens, tokens[hot], blocks, rounds)
+
+
 def _word_lists(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, _STEP):
@@ -387,17 +548,19 @@ def near_copies(
     tokens = frequent["word"].to_numpy().astype(np.int32).view(np.uint32)
     counts = frequent["count"].to_numpy().astype(np.int64)
     bands = bands or allocate(num, den, min_words, records, size or 0.0, counts)
-    by = np.argsort(tokens)
-    hot = counts > task_records
-    hot_words, hot_at = np.unique(tokens[hot] & np.uint32(0xFFFFFFFC), return_index=True)
-    plan = _Plan(
-        num, den, tuple(bands), tokens[by], (by + 1).astype(np.uint64), hot_words,
-        np.minimum(-(-counts[hot][hot_at] // task_records), 4095), max(1, -(-records // task_records)),
-    )
+    held = _band_records(signed, bands, num, den)
+    cores = spark.sparkContext.defaultParallelism
+    plan = make_plan(num, den, bands, held, tokens, counts, records, size or 0.0, task_records, cores)
     broadcast = spark.sparkContext.broadcast(plan)
-    subsets = {b.base + s: b.subset for b in bands for s in range(b.segments)}
-    index = signed.select("h1", "h2", "n", "s0", "s1", "s2", "s3", "words").mapInArrow(_index_rows(broadcast), _INDEX_TYPE)
-    found = index.groupBy("segment", "bucket").applyInArrow(_candidates(num, den, subsets), "x long, y long").distinct()
+    found = None
+    for turn in range(plan.rounds):
+        index = signed.select("h1", "n", "s0", "s1", "s2", "s3", "words").mapInArrow(_index_rows(broadcast, turn), _INDEX_TYPE)
+        part = index.groupBy("key", "sub").applyInArrow(_candidates(num, den), "x long, y long").distinct()
+        if plan.rounds > 1:
+            part = stage(part)
+            spark.sparkContext._jvm.System.gc()  # shuffles no longer referred to are removed from the disks
+        found = part if found is None else found.union(part)
+    found = found.distinct() if plan.rounds > 1 else found
 
     # classes of equal word sets
     members = signed.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2")

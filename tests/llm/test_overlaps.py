@@ -59,6 +59,53 @@ def test_three_word_subsets(spark):
     want = {(i, j) for i in range(90) for j in range(i + 1, 90) if overlap(made[i], made[j]) >= 0.65 - 1e-12}
     got = nearcopies.pairs_of(nearcopies.near_copies(df, "k", "t", 0.65, bands=bands)).collect()
     assert {(r.a, r.b) for r in got} == want and want
+    # first words of more records than a task holds: blocks up to three tasks, second words beyond
+    for task in (40, 4):
+        got = nearcopies.pairs_of(nearcopies.near_copies(df, "k", "t", 0.65, task_records=task, bands=bands)).collect()
+        assert {(r.a, r.b) for r in got} == want
+
+
+def entry_bytes(records, known=(0.005, 0.05, 0.1, 0.2, 0.4, 0.6), each=40, task=nearcopies.TASK_RECORDS):
+    """Bytes sent for a record of 138 words, and the share of the records that the largest group holds, at a size of the collection."""
+    rng = np.random.default_rng(3)
+    share = np.repeat(known, (8000, 200, 150, 100, 60, 40))
+    tokens = np.arange(len(share), dtype=np.uint32) * np.uint32(2654435761)
+    counts = (share * records).astype(np.int64)
+    order = np.lexsort((tokens, counts))
+    tokens, counts, share = tokens[order], counts[order], share[order]
+    bands = nearcopies.allocate(13, 20, 5, records, 138.0, counts)
+    held = [(records if b.lo <= 138 < b.hi else 0, 138.0) for b in bands]
+    plan = nearcopies.make_plan(13, 20, bands, held, tokens, counts, records, 138.0, task, 8)
+    made = [np.sort(rng.choice(len(share), 138, replace=False, p=share / share.sum())) for _ in range(each)]
+    words32 = tokens[np.concatenate(made)].view(np.int32)
+    n = np.full(each, 138)
+    h1 = rng.integers(1, 1 << 62, each).astype(np.uint64)
+    sent = sum(len(row) * nearcopies.ENTRY_BYTES + width * len(codes) for _, _, row, codes, _, width in nearcopies._entries(n, words32, h1, plan))
+    return sent / each, plan
+
+
+def test_bytes_of_a_record_are_bounded():
+    sizes = {records: entry_bytes(records) for records in (200_000, 2_000_000, 20_000_000, 54_000_000, 10**9)}
+    # the words of this made-up vocabulary are nearly all hot at 10**9 records: an entry for each pair of first and second word
+    assert sizes[10**9][0] < 49 * 4 * (nearcopies.ENTRY_BYTES + 20)
+    assert all(sent / plan.rounds <= 2 * nearcopies.ROUND_BYTES * 138 for sent, plan in sizes.values()), {r: (s, p.rounds) for r, (s, p) in sizes.items()}
+
+
+def test_buckets_hold_a_task():
+    for records in (10, 10**6, 10**8):
+        b = nearcopies.buckets_needed(records, 8.0, 10**6)
+        assert records * (1 - (1 - 1 / b) ** 8.0) <= 10**6 * 1.01
+    assert nearcopies.record_bits(1) == 1
+    with pytest.raises(ValueError):
+        nearcopies.record_bits(1 << 41)
+
+
+def test_more_frequent_words_than_20_bits():
+    common = np.arange(1 << 21, dtype=np.uint32)
+    by_rank = common[::-1].copy()
+    plan = nearcopies._Plan(13, 20, (), (), common, np.argsort(by_rank).astype(np.uint64), by_rank, common[:0], common[:0])
+    rows, word = nearcopies._ordered(np.array([3, 2]), np.array([0, 2_000_000, 5_000_000, 7, 8], np.int32), plan)
+    assert rows.tolist() == [0, 0, 0, 1, 1] and word.tolist() == [5_000_000, 2_000_000, 0, 8, 7]
 
 
 def test_allocation_keeps_the_pigeonhole():
