@@ -1,77 +1,48 @@
 """Evaluation texts that also stand in the training split, exactly or nearly (problem 2).
 
-A text is taken as the string of its distinct words in one global order, words rare among the
-evaluation texts first.  Between two such strings of a and b words the edit distance by
-insertions and deletions is the number of words that only one of them has, so an overlap of t or
-more is the same as a distance of at most k(a, b) = a + b - 2 ceil(t (a + b) / (1 + t)), in any
-order of the original words.
+A text is taken as the string of its distinct words in one global order, rare ones first.  Between two
+such strings of a and b words the edit distance by insertions and deletions is the number of words
+that only one of them has, so an overlap of t or more is the same as a distance of at most
+k(a, b) = a + b - 2 o(a, b) with o(a, b) = ceil(t (a + b) / (1 + t)), in any order of the original words.
 
 At most m = a - ceil(t a) words of an evaluation string can be missing from its partner,
 so it is cut into m + 1 segments, one of which stands in the partner unbroken: the m
-rarest words are a segment each, the rest is the last one, found by its first word.  A word at place i
-can only stand at places j of a partner with i - j <= a - o and j - i <= b - o.  What matches there
-and passes a parity sketch of the words is verified by a banded dynamic programme.
-
-The evaluation strings are the stated query set: they are indexed in blocks of bounded size, each
-broadcast to a scan of the training split, which is neither shuffled nor copied.
+rarest words are a segment each, the rest is the last one, found by its first word.  The first word that both
+strings have stands at a place of at most a - o in the one and b - o in the other, so of a training string only its
+first b - ceil(t b) + 1 words are sent, to the groups of segments that begin with them.  What meets there at
+allowed places and passes a parity sketch of the words is verified by a banded dynamic programme.
+
+Both sides are read and tokenised once, into staged word hashes.  Groups are buckets of words of a bounded
+number of texts; words in more texts are cut into blocks of either side.  The bytes sent are bounded for each text,
+and are sent in rounds over the groups if they would fill the disks.
 """
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from corpusloom.llm.wordsets import Memo, gather, hash_sets, identities, least_common, sketches, starts
-from corpusloom.plans.staging import stage
+from corpusloom.llm.wordsets import (
+    Memo, Order, as_bytes, buckets_needed, gather, hash_sets, identities, least_common, mix, packed, sketches, starts, unpacked, word_counts,
+)
 from corpusloom.plans.spreading import spread
+from corpusloom.plans.staging import stage
 
-#: Words of the evaluation strings of one block; a block is broadcast as about 40 bytes a word.
-BLOCK_WORDS = 2_000_000
+#: Words in more than 1 of this many texts are ordered by frequency, all others come first in order of their hash.
+FREQUENT_SHARE = 2000
+#: Texts that one group is meant to hold, about 100 bytes each.
+TASK_TEXTS = 3_000_000
+#: Bytes of an entry and of each of its words; bytes a round may send for each distinct word of a text.
+ENTRY_BYTES, WORD_BYTES, ROUND_BYTES = 28, 6, 8
 _STEP = 2000
 _U = np.uint64
 
 
-@dataclass(frozen=True)
-class _Index:
-    num: int
-    den: int
-    vocabulary: np.ndarray  # word hashes, sorted
-    rank: np.ndarray  # their place in the order, from 1
-    begin: np.ndarray  # where the string of each evaluation text starts
-    strings: np.ndarray  # ranks, ascending in each string
-    sketch: list
-    h1: np.ndarray
-    h2: np.ndarray
-    posting_key: np.ndarray  # rank and length of the string, sorted
-    posting_text: np.ndarray
-    posting_place: np.ndarray
-
-
-def build_index(num: int, den: int, flat: np.ndarray, lengths: np.ndarray) -> _Index:
-    """The segment index of evaluation texts given by their distinct word hashes."""
-    vocabulary, at, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.empty(len(vocabulary), np.int64)
-    rank[np.lexsort((vocabulary, seen))] = np.arange(1, len(vocabulary) + 1)
-    row = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-    own = rank[at]
-    order = np.lexsort((own, row))
-    strings, begin = own[order], starts(lengths)
-    h1, h2 = identities(flat, begin[:-1])
-    place = np.arange(len(strings), dtype=np.int64) - begin[row]
-    segments = lengths - (-(-num * lengths // den)) + 1
-    first = place < segments[row]
-    key = strings[first] << 24 | lengths[row[first]]
-    by = np.argsort(key, kind="stable")
-    return _Index(
-        num, den, vocabulary, rank, begin, strings, sketches(flat, begin[:-1]), h1, h2,
-        key[by], row[first][by].astype(np.int32), place[first][by].astype(np.int32),
-    )
-
-
 def banded_distances(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_len: np.ndarray, band: int) -> np.ndarray:
     """Insertions and deletions between the rows of two padded tables of symbols, all rows at once.
 
@@ -112,143 +83,274 @@ def _padded(values: np.ndarray, begin: np.ndarray, lengths: np.ndarray, filler:
     return table
 
 
-def segment_join(index: _Index, flat: np.ndarray, lengths: np.ndarray, chunk: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-    """(training text, evaluation text) of all pairs that overlap enough; both by their row."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(flat) or not len(index.vocabulary):
-        return none
-    num, den = index.num, index.den
-    row = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-    at = np.minimum(np.searchsorted(index.vocabulary, flat), len(index.vocabulary) - 1)
-    rank = np.where(index.vocabulary[at] == flat, index.rank[at], 0)
-    order = np.argsort(row << 40 | rank, kind="stable")  # words that no evaluation text has come first
-    rank = rank[order]
-    begin = starts(lengths)
-    place = np.arange(len(rank), dtype=np.int64) - begin[row]
-    filled = np.nonzero(lengths)[0]
-    sketch = [np.zeros(len(lengths), np.uint64) for _ in range(4)]
-    for whole, part in zip(sketch, sketches(flat, begin[filled])):
-        whole[filled] = part
-    b = lengths[row]
-    known = np.nonzero(rank)[0]
-    low = np.searchsorted(index.posting_key, rank[known] << 24 | -(-num * b[known] // den))
-    high = np.searchsorted(index.posting_key, rank[known] << 24 | (den * b[known] // num), side="right")
-    count = np.maximum(high - low, 0)
-    known, low, count = known[count > 0], low[count > 0], count[count > 0]
-    total = np.cumsum(count)
-    eval_len = index.begin[1:] - index.begin[:-1]
-    found, at = [], 0
-    while at < len(known):
-        to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk, side="right")), at + 1)
-        posting = gather(low[at:to], count[at:to])
-        source = np.repeat(known[at:to], count[at:to])
-        at = to
-        text, train = index.posting_text[posting].astype(np.int64), row[source]
-        m, n = eval_len[text], lengths[train]
-        least = least_common(num, den, m + n)
-        shift = place[source] - index.posting_place[posting]
-        apart = m + n - 2 * least
-        keep = np.nonzero((-shift <= m - least) & (shift <= n - least))[0]
-        text, train, apart = text[keep], train[keep], apart[keep]
-        for first, second in ((0, 1), (2, 3)):
-            seen = sum(np.bitwise_count(index.sketch[j][text] ^ sketch[j][train]).astype(np.int64) for j in (first, second))
-            apart = apart - seen
-            keep = np.nonzero(apart >= 0)[0]
-            text, train, apart = text[keep], train[keep], apart[keep]
-        found.append(np.unique(train * len(eval_len) + text))
-    pairs = np.unique(np.concatenate(found)) if found else none[0]
-    train, text = pairs // len(eval_len), pairs % len(eval_len)
-    # words that no evaluation text has are insertions for certain and need no column
-    unknown = np.bincount(row, weights=rank == 0, minlength=len(lengths)).astype(np.int64)
-    a_len, b_len = eval_len[text], (lengths - unknown)[train]
-    both = eval_len[text] + lengths[train]
-    allowed = both - 2 * least_common(num, den, both) - unknown[train]
-    good = np.zeros(len(pairs), bool)
-    order = np.argsort(a_len, kind="stable")
-    order = order[allowed[order] >= 0]
-    for at in range(0, len(order), 1000):
-        of = order[at : at + 1000]
-        a = _padded(index.strings, index.begin[text[of]], a_len[of], -1)
-        c = _padded(rank, begin[train[of]] + unknown[train[of]], b_len[of], -3)
-        good[of] = banded_distances(a, a_len[of], c, b_len[of], int(allowed[of].max())) <= allowed[of]
-    return train[good], text[good]
-
-
-def _identified(batches):
+# -- texts as staged word hashes --------------------------------------------------------------
+
+
+def _hashed(batches, passages: bool):
+    """For each text: the key, whether it is a passage, identity, size, a 128-bit parity sketch and 32-bit word hashes."""
     memo = Memo()
     for batch in batches:
         for at in range(0, batch.num_rows, _STEP):
             part = batch.slice(at, _STEP)
-            flat, lengths = hash_sets(part.column(1).to_pylist(), memo)
-            kept = lengths > 0
-            if not kept.any():
+            texts = part.column(1).to_pylist()
+            source = np.arange(part.num_rows)
+            if passages:
+                lists = part.column(2)
+                count = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                texts += lists.flatten().to_pylist()
+                source = np.concatenate([source, np.repeat(source, count)])
+            flat, lengths = hash_sets(texts, memo)
+            kept = np.nonzero(lengths)[0]
+            if not len(kept):
                 continue
-            ids, lengths = part.column(0).filter(pa.array(kept)), lengths[kept]
-            begin = starts(lengths)
+            begin = starts(lengths[kept])
             h1, h2 = identities(flat, begin[:-1])
-            lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], ["id", "h1", "h2", "words"])
+            s = sketches(flat, begin[:-1])
+            words32 = (flat >> _U(32)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).take(pa.array(source[kept])), pa.array(kept >= part.num_rows), pa.array((h1 ^ (h2 << _U(1))).view(np.int64)), pa.array(lengths[kept].astype(np.int32)),
+                    pa.array((s[0] ^ s[2]).view(np.int64)), pa.array((s[1] ^ s[3]).view(np.int64)), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(words32)),
+                ],
+                ["id", "passage", "h", "n", "s0", "s1", "words"],
+            )
+
+
+def _hashed_texts(rows: DataFrame) -> DataFrame:
+    """``rows`` of (id, text) or (id, text, passages) as one staged row for each text with a word."""
+    longs = [StructField(c, LongType()) for c in ("s0", "s1")]
+    kind = StructType(
+        [rows.schema["id"], StructField("passage", BooleanType()), StructField("h", LongType()), StructField("n", IntegerType()), *longs, StructField("words", ArrayType(IntegerType()))]
+    )
+    passages = len(rows.columns) == 3
+    return stage(spread(rows).mapInArrow(lambda batches: _hashed(batches, passages), kind))
+
+
+# -- entries ------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class _Plan:
+    num: int
+    den: int
+    order: Order
+    buckets: int
+    hot: np.ndarray  # words in more texts than a group is meant to hold, sorted
+    blocks: np.ndarray  # for each of them, how many times as many evaluation and training texts have it
+    rounds: int
+
+
+def make_plan(
+    num: int, den: int, tokens: np.ndarray, counts: np.ndarray, texts: tuple[int, int], size: float, task_texts: int, cores: int
+) -> _Plan:
+    """``counts``: evaluation and training texts of each frequent word, by rising sum."""
+    first = size * (1 - num / den) + 1
+    buckets = max(buckets_needed(sum(texts), first, task_texts), cores if sum(texts) > 10_000 else 1)
+    hot = np.nonzero(counts.sum(axis=1) > task_texts)[0]
+    hot = hot[np.argsort(tokens[hot])]
+    blocks = np.maximum(-(-2 * counts[hot] // task_texts), 1)
+    sent = ENTRY_BYTES * buckets * (1 - (1 - 1 / buckets) ** first) + WORD_BYTES * first
+    return _Plan(num, den, Order.of(tokens), buckets, tokens[hot], blocks, max(1, math.ceil(sent / max(size * ROUND_BYTES, 1))))
+
+
+def _entries(n: np.ndarray, words32: np.ndarray, h: np.ndarray, side: int, plan: _Plan) -> tuple[np.ndarray, ...]:
+    """Group, text, words, their places and number, an entry for each text and group.
+
+    The words are the first ones of the string up to the place where the first shared word can be.  Bit 0 of
+    a word is the side, bit 1 tells the last word of an entry; the other 30 bits are the word's.
+    """
+    rows, word, _ = plan.order.arrange(n, words32)
+    place = np.arange(len(word), dtype=np.int64) - starts(n)[rows]
+    kept = np.nonzero(place < (n - (-(-plan.num * n // plan.den)) + 1)[rows])[0]
+    row, word, place = rows[kept], word[kept], place[kept]
+    group = (mix(word, 11) % _U(plan.buckets)).astype(np.int64)
+    if len(plan.hot):
+        k = np.minimum(np.searchsorted(plan.hot, word), len(plan.hot) - 1)
+        is_hot = plan.hot[k] == word
+        f = np.nonzero(is_hot)[0]
+        own, others = plan.blocks[k[f], side], plan.blocks[k[f], 1 - side]
+        mine = (h[row[f]] % own.astype(np.uint64)).astype(np.int64)
+        each = np.repeat(np.arange(len(f)), others)
+        other = np.arange(len(each)) - np.repeat(np.cumsum(others) - others, others)
+        cell = mine[each] * (1 << 20) + other if side == 0 else other * (1 << 20) + mine[each]
+        block = (mix(word[f[each]].astype(np.uint64) << _U(24) ^ mix(cell, 5), 17) | _U(1 << 62)).astype(np.int64)
+        calm = np.nonzero(~is_hot)[0]
+        taken = np.concatenate([calm, f[each]])
+        row, word, place, group = row[taken], word[taken], place[taken], np.concatenate([group[calm], block])
+    by = np.lexsort((place, row, group))
+    row, word, place, group = row[by], word[by], place[by], group[by]
+    if not len(row):
+        return group, row, word, place, row
+    new = np.concatenate([[True], (group[1:] != group[:-1]) | (row[1:] != row[:-1])])
+    first = np.nonzero(new)[0]
+    length = np.diff(np.append(first, len(row)))
+    code = word & np.uint32(0xFFFFFFFC) | np.uint32(side)
+    code[first + length - 1] |= np.uint32(2)
+    return group[first], row[first], code, np.minimum(place, 65535).astype(np.uint16), length
+
+
+def _packed_entries(broadcast, side: int, turn: int):
+    def run(batches):
+        plan = broadcast.value
+        sent: set[int] = set()
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            fresh = np.zeros(len(h), bool)
+            for i, identity in enumerate(h.tolist()):
+                if identity not in sent:  # equal texts of a task are sent once
+                    sent.add(identity)
+                    fresh[i] = True
+            if len(sent) > 2_000_000:
+                sent.clear()
+            part = batch.filter(pa.array(fresh))
+            if not part.num_rows:
+                continue
+            h, n = h[fresh], part.column(1).to_numpy().astype(np.int64)
+            sketch = np.stack([part.column(c).to_numpy() for c in (2, 3)], axis=1)
+            group, row, code, place, length = _entries(n, part.column(4).flatten().to_numpy(), h, side, plan)
+            if plan.rounds > 1:
+                kept = np.nonzero(mix(group.astype(np.uint64), 29) % _U(plan.rounds) == turn)[0]
+                taken = gather(starts(length)[:-1][kept], length[kept])
+                group, row, code, place, length = group[kept], row[kept], code[taken], place[taken], length[kept]
+            if not len(group):
+                continue
+            first = np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0]
+            count = np.diff(np.append(first, len(group)))
+            total = np.add.reduceat(length, first)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(group[first]), packed(as_bytes(h[row]), 8 * count), packed(as_bytes(n[row].astype(np.uint32)), 4 * count),
+                    packed(as_bytes(sketch[row]).reshape(-1), 16 * count), packed(as_bytes(code), 4 * total), packed(as_bytes(place), 2 * total),
+                ],
+                ["group", "h", "n", "sketch", "codes", "places"],
+            )
+
+    return run
+
+
+_ENTRY_TYPE = "group long, h binary, n binary, sketch binary, codes binary, places binary"
+
+
+# -- candidates and verification ----------------------------------------------------------------
+
+
+def _meet(num: int, den: int, chunk: int = 500_000):
+    """Pairs of an evaluation and a training text that share a segment at allowed places and may overlap enough by the sketch."""
+
+    def run(tbl: pa.Table) -> pa.Table:
+        h = unpacked(tbl.column("h")).view(np.uint64)
+        n = unpacked(tbl.column("n")).view(np.int32).astype(np.int64)
+        sketch = unpacked(tbl.column("sketch")).view(np.uint64).reshape(-1, 2)
+        code = unpacked(tbl.column("codes")).view(np.uint32)
+        place = unpacked(tbl.column("places")).view(np.uint16).astype(np.int64)
+        length = np.diff(np.nonzero(code & np.uint32(2))[0], prepend=-1)
+        text = np.repeat(np.arange(len(h)), length)
+        training = (code & np.uint32(1)) != 0
+        word = (code >> np.uint32(2)).astype(np.uint64)
+        # evaluation segments by word and size of the string
+        posted = np.nonzero(~training)[0]
+        key = word[posted] << _U(32) | n[text[posted]].astype(np.uint64)
+        by = np.argsort(key, kind="stable")
+        posted, key = posted[by], key[by]
+        asking = np.nonzero(training)[0]
+        size = n[text[asking]]
+        low = np.searchsorted(key, word[asking] << _U(32) | (-(-num * size // den)).astype(np.uint64))
+        high = np.searchsorted(key, word[asking] << _U(32) | (den * size // num).astype(np.uint64), side="right")
+        count = np.maximum(high - low, 0)
+        asking, low, count = asking[count > 0], low[count > 0], count[count > 0]
+        total = np.cumsum(count)
+        found, at = [np.zeros((0, 2), np.uint64)], 0
+        while at < len(asking):
+            to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk, side="right")), at + 1)
+            there = posted[gather(low[at:to], count[at:to])]
+            here = np.repeat(asking[at:to], count[at:to])
+            at = to
+            a, b = text[there], text[here]
+            least = least_common(num, den, n[a] + n[b])
+            apart = n[a] + n[b] - 2 * least
+            apart = apart - np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+            keep = (apart >= 0) & (place[there] <= n[a] - least) & (place[here] <= n[b] - least)
+            found.append(np.unique(np.stack([h[a[keep]], h[b[keep]]], axis=1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0).view(np.int64)
+        return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]})
+
+    return run
 
 
-def _scan(broadcast):
-    """Join the text and the passages of each training row with one block of the index."""
+def _verified(broadcast):
+    """Pairs whose strings are at most the allowed distance apart, by the banded dynamic programme."""
 
     def run(batches):
-        index, memo = broadcast.value, Memo()
+        plan = broadcast.value
         for batch in batches:
-            for at in range(0, batch.num_rows, _STEP):
-                part = batch.slice(at, _STEP)
-                own, passages = part.column(1), part.column(2)
-                count = np.nan_to_num(passages.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-                texts = own.to_pylist() + passages.flatten().to_pylist()
-                source = np.concatenate([np.arange(part.num_rows), np.repeat(np.arange(part.num_rows), count)])
-                flat, lengths = hash_sets(texts, memo)
-                train, text = segment_join(index, flat, lengths)
-                if not len(train):
-                    continue
-                field = np.where(train < part.num_rows, "query", "pos")
-                ids = part.column(0).take(pa.array(source[train]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(index.h1[text].view(np.int64)), pa.array(index.h2[text].view(np.int64)), ids, pa.array(field.tolist(), pa.string())],
-                    ["h1", "h2", "train_id", "field"],
-                )
+            strings, size = [], []
+            for c in (2, 3):
+                n = batch.column(c).value_lengths().to_numpy().astype(np.int64)
+                _, _, place = plan.order.arrange(n, batch.column(c).flatten().to_numpy())
+                strings.append(place.astype(np.int64))
+                size.append(n)
+            both = size[0] + size[1]
+            allowed = both - 2 * least_common(plan.num, plan.den, both)
+            begin = [starts(n) for n in size]
+            good = np.zeros(len(both), bool)
+            order = np.lexsort((size[0], allowed))
+            for at in range(0, len(order), 500):
+                of = order[at : at + 500]
+                a, b = (_padded(strings[i], begin[i][of], size[i][of], -1 - 2 * i) for i in (0, 1))
+                good[of] = banded_distances(a, size[0][of], b, size[1][of], int(allowed[of].max())) <= allowed[of]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(good))
 
     return run
 
 
 def cross_overlaps(
     evaluation: DataFrame, eval_key: str, eval_text: str, training: DataFrame, train_key: str, train_text: str,
-    train_passages: str, threshold: float = 0.65, block_words: int = BLOCK_WORDS,
+    train_passages: str, threshold: float = 0.65, task_texts: int = TASK_TEXTS,
 ) -> DataFrame:
     """``(eval_id, train_id, field)``: evaluation texts whose words overlap by ``threshold`` or more
     with the text (field ``query``) or with any one passage (field ``pos``) of a training row.
 
     Null texts, null passages and texts without a word overlap with nothing; rows with a null key
-    are left out; repeated rows and equal passages give one row.  Evaluation texts with the same words
-    are looked up once.  Other columns are not read.
+    are left out; repeated rows and equal passages give one row.  Texts with the same words are compared
+    once.  Words are compared by 32-bit hashes.  Other columns are not read.
     """
     spark = evaluation.sparkSession
     exact = Fraction(str(threshold))
     num, den = exact.numerator, exact.denominator
-    asked = evaluation.select(F.col(eval_key).alias("id"), F.col(eval_text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    kind = StructType([asked.schema["id"], StructField("h1", LongType()), StructField("h2", LongType()), StructField("words", ArrayType(LongType()))])
-    held = stage(asked.mapInArrow(_identified, kind))
-    classes = held.dropDuplicates(["h1", "h2"]).select("h1", "words")
-    total = classes.agg(F.sum(F.size("words"))).first()[0] or 0
-    blocks = max(1, -(-total // block_words))
+    asked = _hashed_texts(evaluation.select(F.col(eval_key).alias("id"), F.col(eval_text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL"))
     rows = training.select(F.col(train_key).alias("id"), F.col(train_text).alias("text"), F.col(train_passages).alias("passages")).where("id IS NOT NULL")
-    out = StructType([StructField("h1", LongType()), StructField("h2", LongType()), StructField("train_id", rows.schema["id"].dataType), StructField("field", StringType())])
+    trained = _hashed_texts(rows)
+    sides = (asked, trained)
+
+    texts, size = zip(*((r[0], r[1] or 0.0) for r in (t.agg(F.count("*"), F.avg("n")).first() for t in sides)))
+    counted = [t.select("words").mapInArrow(word_counts, "word int, count long").groupBy("word").agg(F.sum("count").alias(c)) for t, c in zip(sides, "ab")]
+    both = counted[0].withColumn("b", F.lit(0)).unionByName(counted[1].withColumn("a", F.lit(0))).groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    frequent = both.where(F.col("a") + F.col("b") > sum(texts) / FREQUENT_SHARE).orderBy(F.col("a") + F.col("b"), "word").toPandas()
+    tokens = frequent["word"].to_numpy().astype(np.int32).view(np.uint32)
+    counts = frequent[["a", "b"]].to_numpy().astype(np.int64).reshape(-1, 2)
+    mean = sum(t * s for t, s in zip(texts, size)) / max(sum(texts), 1)
+    plan = make_plan(num, den, tokens, counts, texts, mean, task_texts, spark.sparkContext.defaultParallelism)
+    broadcast = spark.sparkContext.broadcast(plan)
+
     found = None
-    for block in range(blocks):
-        part = classes.where(F.pmod("h1", F.lit(blocks)) == block).select("words").toArrow().column("words").combine_chunks()
-        lengths = part.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        index = build_index(num, den, part.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lengths)
-        pairs = spread(rows).mapInArrow(_scan(spark.sparkContext.broadcast(index)), out)
-        found = pairs if found is None else found.union(pairs)
-    return (
-        found.distinct().join(held.select("id", "h1", "h2").distinct(), ["h1", "h2"])
-        .select(F.col("id").alias("eval_id"), "train_id", "field").distinct()
-    )
+    for turn in range(plan.rounds):
+        entries = [t.select("h", "n", "s0", "s1", "words").mapInArrow(_packed_entries(broadcast, i, turn), _ENTRY_TYPE) for i, t in enumerate(sides)]
+        part = stage(entries[0].union(entries[1]).groupBy("group").applyInArrow(_meet(num, den), "x long, y long").distinct())
+        if plan.rounds > 1:
+            spark.sparkContext._jvm.System.gc()  # shuffles no longer referred to are removed from the disks
+        found = part if found is None else found.union(part)
+    found = found.distinct() if plan.rounds > 1 else found
+
+    def strings(side: DataFrame, end: str, name: str) -> DataFrame:
+        """The words of the texts of candidates, each text once."""
+        wanted = side.join(found.select(F.col(end).alias("h")).distinct(), "h", "left_semi")
+        return wanted.groupBy("h").agg(F.first("words").alias(name)).withColumnRenamed("h", end)
+
+    listed = found.join(strings(asked, "x", "first"), "x").join(strings(trained, "y", "second"), "y").select("x", "y", "first", "second")
+    links = listed.mapInArrow(_verified(broadcast), "x long, y long")
+    a = asked.select(F.col("h").alias("x"), F.col("id").alias("eval_id")).distinct()
+    b = trained.select(F.col("h").alias("y"), F.col("id").alias("train_id"), F.when(F.col("passage"), "pos").otherwise("query").alias("field")).distinct()
+    return links.join(a, "x").join(b, "y").select("eval_id", "train_id", "field").distinct()
 
 
 def _overlaps(spark, folder: str) -> DataFrame:

@@ -34,7 +34,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from corpusloom.llm.textform import words
-from corpusloom.llm.wordsets import Memo, gather, hash_sets, identities, least_common, sketches, starts
+from corpusloom.llm.wordsets import (
+    Memo, Order, as_bytes, buckets_needed, gather, hash_sets, identities, least_common, mix, packed, sketches, starts, unpacked, word_counts,
+)
 from corpusloom.plans.staging import stage
 from corpusloom.plans.spreading import spread
 
@@ -115,28 +117,6 @@ def _signature_type(id_type) -> StructType:
     )
 
 
-def _word_counts(batches):
-    """In how many records each word is, summed over a part of the table in bulk."""
-    held, pending = [], 0
-
-    def summed():
-        token, count = np.concatenate([t for t, _ in held]), np.concatenate([c for _, c in held])
-        unique, at = np.unique(token, return_inverse=True)
-        return unique, np.bincount(at, weights=count).astype(np.int64)
-
-    for batch in batches:
-        token, count = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
-        held.append((token, count))
-        pending += len(token)
-        if pending > 2_000_000:
-            held = [summed()]
-            pending = 0
-    if held:
-        token, count = summed()
-        for at in range(0, len(token), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(token[at : at + 50_000]), pa.array(count[at : at + 50_000])], ["word", "count"])
-
-
 # -- allocation ----------------------------------------------------------------------------
 
 
@@ -178,48 +158,18 @@ def allocate(num: int, den: int, minimum: int, records: int, mean_size: float, f
 # -- index and probe entries ----------------------------------------------------------------
 
 
-def _mix(values: np.ndarray, salt: int) -> np.ndarray:
-    x = (values.astype(np.uint64) + _U(salt)) * _U(0x9E3779B97F4A7C15)
-    return (x ^ (x >> _U(31))) * _U(0xBF58476D1CE4E5B9) >> _U(24)
-
-
 @dataclass(frozen=True)
 class _Plan:
     num: int
     den: int
     bands: tuple
     buckets: tuple  # for each band: buckets of first words in a segment
-    common: np.ndarray  # frequent words, sorted by hash
-    rank: np.ndarray  # their place in the global order, from 0
-    by_rank: np.ndarray  # frequent words in the global order
+    order: Order
     hot: np.ndarray  # words in more records than a task is meant to hold, sorted
     blocks: np.ndarray  # how many times as many records have each of them
     rounds: int = 1
 
 
-def buckets_needed(records: float, starts_each: float, task_records: int) -> int:
-    """The fewest buckets of first words such that a bucket gets at most ``task_records`` of the records."""
-    if records <= task_records:
-        return 1
-    return max(1, math.ceil(1 / (1 - (1 - task_records / records) ** (1 / max(starts_each, 1.0)))))
-
-
-def _ordered(n: np.ndarray, words32: np.ndarray, plan: _Plan) -> tuple[np.ndarray, np.ndarray]:
-    """The record of each word and the words, in global order inside each record."""
-    rows = np.repeat(np.arange(len(n), dtype=np.uint64), n)
-    place = words32.view(np.uint32).astype(np.uint64)
-    if len(plan.common):
-        at = np.minimum(np.searchsorted(plan.common, words32.view(np.uint32)), len(plan.common) - 1)
-        known = plan.common[at] == words32.view(np.uint32)
-        place[known] = plan.rank[at[known]].astype(np.uint64) | _U(1 << 32)
-    order = np.sort(rows << _U(40) | place)  # 24 bits for the record of a step, 40 for the place in the order
-    rows, place = (order >> _U(40)).astype(np.int64), order & _U((1 << 40) - 1)
-    word = (place & _U(0xFFFFFFFF)).astype(np.uint32)
-    frequent = place >> _U(32) != 0
-    word[frequent] = plan.by_rank[word[frequent]]
-    return rows, word
-
-
 def _spread_hot(plan: _Plan, band: Band, h1: np.ndarray, row: np.ndarray, word: np.ndarray, left: np.ndarray, f: np.ndarray, blocks: np.ndarray) -> list[tuple]:
     """(entry it comes from, sub-group, start) for first words that too many records have.
 
@@ -240,14 +190,14 @@ def _spread_hot(plan: _Plan, band: Band, h1: np.ndarray, row: np.ndarray, word:
             each = np.repeat(np.arange(len(k)), times)
             other = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
             a, b = np.minimum(mine[each], other), np.maximum(mine[each], other)
-            sub = _mix(word[p[each]].astype(np.uint64) << _U(24) | (a << 12).astype(np.uint64) ^ b.astype(np.uint64), 17) | _U(1 << 62)
+            sub = mix(word[p[each]].astype(np.uint64) << _U(24) | (a << 12).astype(np.uint64) ^ b.astype(np.uint64), 17) | _U(1 << 62)
             found.append((p[each], sub.astype(np.int64), p[each]))
         else:
             times = left[p] - 1 - (band.subset - 2)
             each = np.repeat(np.arange(len(k)), times)
             second = p[each] + 1 + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
-            of = _mix(word[second], 19) % (blocks[k][each] * 8).astype(np.uint64)
-            sub = _mix(word[p[each]].astype(np.uint64) << _U(24) ^ of, 23) | _U(1 << 61)
+            of = mix(word[second], 19) % (blocks[k][each] * 8).astype(np.uint64)
+            sub = mix(word[p[each]].astype(np.uint64) << _U(24) ^ of, 23) | _U(1 << 61)
             found.append((p[each], sub.astype(np.int64), second))
     return found
 
@@ -261,7 +211,7 @@ def _entries(n: np.ndarray, words32: np.ndarray, h1: np.ndarray, plan: _Plan) ->
     bit 1 that subsets that begin with it belong to this sub-group, bit 2 that it is the entry's last one.
     """
     num, den = plan.num, plan.den
-    rows, token = _ordered(n, words32, plan)
+    rows, token, _ = plan.order.arrange(n, words32)
     place = np.arange(len(token), dtype=np.int64) - starts(n)[rows]
     least = -(-num * n // den)  # the fewest words of a partner
     found = []
@@ -274,11 +224,11 @@ def _entries(n: np.ndarray, words32: np.ndarray, h1: np.ndarray, plan: _Plan) ->
         kept = np.nonzero(place < np.maximum(index_to, probe_to)[rows])[0]
         if not len(kept):
             continue
-        segment = (_mix(token[kept], 7) % _U(band.segments)).astype(np.int64)
+        segment = (mix(token[kept], 7) % _U(band.segments)).astype(np.int64)
         by = np.argsort(rows[kept] * band.segments + segment, kind="stable")
         row, segment, word = rows[kept][by], segment[by], token[kept][by]
         indexed = (place[kept] < index_to[rows[kept]])[by]
-        code = (_mix(word, 13) & _U((1 << (8 * band.width - 3)) - 1)).astype(np.uint32) << np.uint32(3) | indexed
+        code = (mix(word, 13) & _U((1 << (8 * band.width - 3)) - 1)).astype(np.uint32) << np.uint32(3) | indexed
         group = np.cumsum(np.concatenate([[True], (row[1:] != row[:-1]) | (segment[1:] != segment[:-1])])) - 1
         size = np.bincount(group)
         end = starts(size)[1:]
@@ -286,7 +236,7 @@ def _entries(n: np.ndarray, words32: np.ndarray, h1: np.ndarray, plan: _Plan) ->
         f = np.nonzero((left >= band.subset) & (size[group] >= band.subset))[0]
         if not len(f):
             continue
-        bucket = (_mix(word[f], 11) % _U(buckets)).astype(np.int64)
+        bucket = (mix(word[f], 11) % _U(buckets)).astype(np.int64)
         parts = [(f, bucket, f)]
         if len(plan.hot):
             k = np.minimum(np.searchsorted(plan.hot, word[f]), len(plan.hot) - 1)
@@ -308,15 +258,6 @@ def _entries(n: np.ndarray, words32: np.ndarray, h1: np.ndarray, plan: _Plan) ->
     return found
 
 
-def _bytes(values: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(values).view(np.uint8)
-
-
-def _packed(cells: pa.Array, each: np.ndarray) -> pa.Array:
-    """Bytes cut into binary values of ``each`` length."""
-    return pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(starts(each).astype(np.int32)), pa.py_buffer(cells)])
-
-
 def _index_rows(broadcast, turn: int = 0):
     """Entries packed by group: for each batch one row for each group, with its entries one after another."""
 
@@ -342,7 +283,7 @@ def _index_rows(broadcast, turn: int = 0):
                 sketch = np.stack([part.column(c).to_numpy() for c in (2, 3, 4, 5)], axis=1)
                 for key, sub, row, codes, length, width in _entries(n, part.column(6).flatten().to_numpy(), h1, plan):
                     if plan.rounds > 1:
-                        mine = _mix(_mix(sub.astype(np.uint64), 29) ^ key.astype(np.uint64), 31) % _U(plan.rounds) == turn
+                        mine = mix(mix(sub.astype(np.uint64), 29) ^ key.astype(np.uint64), 31) % _U(plan.rounds) == turn
                         kept = np.nonzero(mine)[0]
                         codes = codes[gather(starts(length)[:-1][kept], length[kept])]
                         key, sub, row, length = key[kept], sub[kept], row[kept], length[kept]
@@ -354,11 +295,11 @@ def _index_rows(broadcast, turn: int = 0):
                     first = np.nonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])]))[0]
                     count = np.diff(np.append(first, len(key)))
                     total = np.add.reduceat(length, first)
-                    small = _bytes(codes).reshape(-1, 4)[:, :width]
+                    small = as_bytes(codes).reshape(-1, 4)[:, :width]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(key[first].astype(np.int32)), pa.array(sub[first]), _packed(_bytes(h1[row]), 8 * count), _packed(_bytes(n[row].astype(np.uint32)), 4 * count),
-                            _packed(_bytes(sketch[row]).reshape(-1), 32 * count), _packed(np.ascontiguousarray(small).reshape(-1), width * total),
+                            pa.array(key[first].astype(np.int32)), pa.array(sub[first]), packed(as_bytes(h1[row]), 8 * count), packed(as_bytes(n[row].astype(np.uint32)), 4 * count),
+                            packed(as_bytes(sketch[row]).reshape(-1), 32 * count), packed(np.ascontiguousarray(small).reshape(-1), width * total),
                         ],
                         ["key", "sub", "h1", "n", "sketch", "codes"],
                     )
@@ -372,17 +313,6 @@ _INDEX_TYPE = "key int, sub long, h1 binary, n binary, sketch binary, codes bina
 # -- candidates of one group ------------------------------------------------------------------
 
 
-def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
-    """The bytes of all binary values one after another."""
-    parts = [np.frombuffer(c.buffers()[2], np.uint8)[_offset(c, 0) : _offset(c, len(c))] for c in column.chunks if len(c)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
-
-
-def _offset(array: pa.Array, at: int) -> int:
-    kind = np.int64 if pa.types.is_large_binary(array.type) else np.int32
-    return int(np.frombuffer(array.buffers()[1], kind)[array.offset + at])
-
-
 def _subset_keys(codes: np.ndarray, lengths: np.ndarray, subset: int, opening: np.ndarray) -> np.ndarray:
     """Sorted keys of all subsets that begin with an opening code: the subset's hash, the record, and 1 bit if indexed."""
     bits = record_bits(len(lengths))
@@ -396,12 +326,12 @@ def _subset_keys(codes: np.ndarray, lengths: np.ndarray, subset: int, opening: n
         i = open_at[left[open_at] > (steps[-1] if steps else 0)]
         if not len(i):
             continue
-        h = _mix(word[i], 3)
+        h = mix(word[i], 3)
         last = i
         for step in steps:
             last = i + step
-            h = _mix(h ^ (word[last] * _U(0xD6E8FEB86659FD93)), 5)
-        keys.append(_mix(h, 9) << _U(bits + 1) | document[i].astype(np.uint64) << _U(1) | (codes[last] & np.uint32(1)).astype(np.uint64))
+            h = mix(h ^ (word[last] * _U(0xD6E8FEB86659FD93)), 5)
+        keys.append(mix(h, 9) << _U(bits + 1) | document[i].astype(np.uint64) << _U(1) | (codes[last] & np.uint32(1)).astype(np.uint64))
     return np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
 
 
@@ -419,10 +349,10 @@ def _candidates(num: int, den: int, chunk: int = 400_000, keys_at_once: int = 6_
     def run(tbl: pa.Table) -> pa.Table:
         key = tbl.column("key")[0].as_py()
         subset, width = key % 4, key // 4 % 4
-        h1 = _unpacked(tbl.column("h1")).view(np.uint64)
-        n = _unpacked(tbl.column("n")).view(np.int32)
-        sketch = _unpacked(tbl.column("sketch")).view(np.uint64).reshape(-1, 4)
-        small = _unpacked(tbl.column("codes")).reshape(-1, width)
+        h1 = unpacked(tbl.column("h1")).view(np.uint64)
+        n = unpacked(tbl.column("n")).view(np.int32)
+        sketch = unpacked(tbl.column("sketch")).view(np.uint64).reshape(-1, 4)
+        small = unpacked(tbl.column("codes")).reshape(-1, width)
         codes = np.zeros(len(small), np.uint32)
         for i in range(width):
             codes |= small[:, i].astype(np.uint32) << np.uint32(8 * i)
@@ -436,7 +366,7 @@ def _candidates(num: int, den: int, chunk: int = 400_000, keys_at_once: int = 6_
         opening = (codes & np.uint32(2)) != 0
         each = np.mean([math.comb(int(x), subset) for x in lengths[:1000]]) if len(lengths) else 0.0
         parts = max(1, int(each * len(lengths) // keys_at_once) + 1)
-        of = _mix(codes >> np.uint32(3), 37) % _U(parts) if parts > 1 else None
+        of = mix(codes >> np.uint32(3), 37) % _U(parts) if parts > 1 else None
         results = []
         for part in range(parts):
             results.append(_pairs_of_keys(_subset_keys(codes, lengths, subset, opening if of is None else opening & (of == part)), n, sketch, largest, num, den, chunk))
@@ -502,12 +432,11 @@ def make_plan(
         buckets.append(need)
         copies = band.segments * need * (1 - (1 - 1 / need) ** first)
         sent += inside * copies * (ENTRY_BYTES + band.width * (first + band.subset - 1) / (1 if need == 1 else 2))
-    by = np.argsort(tokens)
     hot = np.nonzero(counts > task_records)[0]
     hot = hot[np.argsort(tokens[hot])]
     blocks = -(-counts[hot] // task_records)
     rounds = max(1, math.ceil(sent / max(records * size * ROUND_BYTES, 1)))
-    return _Plan(num, den, tuple(bands), tuple(buckets), tokens[by], by.astype(np.uint64), tokens, tokens[hot], blocks, rounds)
+    return _Plan(num, den, tuple(bands), tuple(buckets), Order.of(tokens), tokens[hot], blocks, rounds)
 
 
 def _word_lists(batches):
@@ -542,7 +471,7 @@ def near_copies(
     # the global order: words in more than 1 of FREQUENT_SHARE records by frequency, the others before them
     records, size = signed.agg(F.count("*"), F.avg("n")).first()
     frequent = (
-        signed.select("words").mapInArrow(_word_counts, "word int, count long").groupBy("word").agg(F.sum("count").alias("count"))
+        signed.select("words").mapInArrow(word_counts, "word int, count long").groupBy("word").agg(F.sum("count").alias("count"))
         .where(F.col("count") > records / FREQUENT_SHARE).orderBy("count", "word").toPandas()
     )
     tokens = frequent["word"].to_numpy().astype(np.int32).view(np.uint32)

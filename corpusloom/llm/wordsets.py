@@ -1,13 +1,18 @@
 """Sets of words as 64-bit hashes, built in bulk inside Python workers."""
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from corpusloom.llm.textform import WORD, consistent
 
 #: Entries that a worker remembers before it starts afresh; only speed depends on it.
 REMEMBERED = 1_000_000
+_U = np.uint64
 
 
 class Memo(dict):
@@ -64,3 +69,94 @@ def gather(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of the members of lists that start at ``begin`` and have ``lengths`` members."""
     first = np.cumsum(lengths) - lengths
     return np.repeat(begin - first, lengths) + np.arange(int(lengths.sum()), dtype=np.int64)
+
+
+def mix(values: np.ndarray, salt: int) -> np.ndarray:
+    x = (values.astype(np.uint64) + _U(salt)) * _U(0x9E3779B97F4A7C15)
+    return (x ^ (x >> _U(31))) * _U(0xBF58476D1CE4E5B9) >> _U(24)
+
+
+def word_counts(batches):
+    """In how many records each word is, summed over a part of the table in bulk."""
+    held, pending = [], 0
+
+    def summed():
+        token, count = np.concatenate([t for t, _ in held]), np.concatenate([c for _, c in held])
+        unique, at = np.unique(token, return_inverse=True)
+        return unique, np.bincount(at, weights=count).astype(np.int64)
+
+    for batch in batches:
+        token, count = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+        held.append((token, count))
+        pending += len(token)
+        if pending > 2_000_000:
+            held = [summed()]
+            pending = 0
+    if held:
+        token, count = summed()
+        for at in range(0, len(token), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(token[at : at + 50_000]), pa.array(count[at : at + 50_000])], ["word", "count"])
+
+# -- one global order of words ----------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Order:
+    """Rare words first, by their 32-bit hash; then the frequent ones by falling rarity."""
+
+    common: np.ndarray  # frequent words, sorted by hash
+    rank: np.ndarray  # their place among the frequent ones, from 0
+    by_rank: np.ndarray  # frequent words in order
+
+    @classmethod
+    def of(cls, tokens: np.ndarray) -> Order:
+        """The order of frequent words that come by rising frequency."""
+        by = np.argsort(tokens)
+        return cls(tokens[by], by.astype(np.uint64), tokens)
+
+    def arrange(self, n: np.ndarray, words32: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The record of each word, the words in order inside each record, and their 40-bit places in the order."""
+        rows = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+        if len(n) >= 1 << 24:
+            raise ValueError("more records at once than 24 bits can number")
+        place = words32.view(np.uint32).astype(np.uint64)
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, words32.view(np.uint32)), len(self.common) - 1)
+            known = self.common[at] == words32.view(np.uint32)
+            place[known] = self.rank[at[known]] | _U(1 << 32)
+        order = np.sort(rows << _U(40) | place)
+        rows, place = (order >> _U(40)).astype(np.int64), order & _U((1 << 40) - 1)
+        word = (place & _U(0xFFFFFFFF)).astype(np.uint32)
+        frequent = place >> _U(32) != 0
+        word[frequent] = self.by_rank[word[frequent]]
+        return rows, word, place
+
+
+# -- entries packed by group -------------------------------------------------------------------
+
+
+def buckets_needed(records: float, starts_each: float, task_records: int) -> int:
+    """The fewest buckets of first words such that a bucket gets at most ``task_records`` of the records."""
+    if records <= task_records:
+        return 1
+    return max(1, math.ceil(1 / (1 - (1 - task_records / records) ** (1 / max(starts_each, 1.0)))))
+
+
+def as_bytes(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values).view(np.uint8)
+
+
+def packed(cells: pa.Array, each: np.ndarray) -> pa.Array:
+    """Bytes cut into binary values of ``each`` length."""
+    return pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(starts(each).astype(np.int32)), pa.py_buffer(cells)])
+
+
+def unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of all binary values one after another."""
+    parts = [np.frombuffer(c.buffers()[2], np.uint8)[_offset(c, 0) : _offset(c, len(c))] for c in column.chunks if len(c)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
+
+def _offset(array: pa.Array, at: int) -> int:
+    kind = np.int64 if pa.types.is_large_binary(array.type) else np.int32
+    return int(np.frombuffer(array.buffers()[1], kind)[array.offset + at])

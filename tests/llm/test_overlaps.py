@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from corpusloom.llm import crosssplit, leaks, nearcopies
+from corpusloom.llm import crosssplit, leaks, nearcopies, wordsets
 from corpusloom.llm.textform import words
 
 
@@ -93,7 +93,7 @@ def test_bytes_of_a_record_are_bounded():
 
 def test_buckets_hold_a_task():
     for records in (10, 10**6, 10**8):
-        b = nearcopies.buckets_needed(records, 8.0, 10**6)
+        b = wordsets.buckets_needed(records, 8.0, 10**6)
         assert records * (1 - (1 - 1 / b) ** 8.0) <= 10**6 * 1.01
     assert nearcopies.record_bits(1) == 1
     with pytest.raises(ValueError):
@@ -103,8 +103,9 @@ def test_buckets_hold_a_task():
 def test_more_frequent_words_than_20_bits():
     common = np.arange(1 << 21, dtype=np.uint32)
     by_rank = common[::-1].copy()
-    plan = nearcopies._Plan(13, 20, (), (), common, np.argsort(by_rank).astype(np.uint64), by_rank, common[:0], common[:0])
-    rows, word = nearcopies._ordered(np.array([3, 2]), np.array([0, 2_000_000, 5_000_000, 7, 8], np.int32), plan)
+    order = wordsets.Order.of(by_rank)
+    assert np.array_equal(order.common, common)
+    rows, word, _ = order.arrange(np.array([3, 2]), np.array([0, 2_000_000, 5_000_000, 7, 8], np.int32))
     assert rows.tolist() == [0, 0, 0, 1, 1] and word.tolist() == [5_000_000, 2_000_000, 0, 8, 7]
 
 
@@ -129,8 +130,8 @@ def test_cross_overlaps(spark):
                 want.add((q, s, "query"))
             if any(p and overlap(t, p) >= 0.65 - 1e-12 for p in passages or []):
                 want.add((q, s, "pos"))
-    for block in (2_000_000, 150):
-        got = crosssplit.cross_overlaps(ev, "qid", "text", tr, "sid", "text", "passages", block_words=block).collect()
+    for task in (3_000_000, 40, 6):
+        got = crosssplit.cross_overlaps(ev, "qid", "text", tr, "sid", "text", "passages", task_texts=task).collect()
         assert len(got) == len(set(got)) and set(map(tuple, got)) == want and want
     assert crosssplit.cross_overlaps(ev.limit(0), "qid", "text", tr, "sid", "text", "passages").count() == 0
     assert crosssplit.cross_overlaps(ev, "qid", "text", tr.limit(0), "sid", "text", "passages").count() == 0
