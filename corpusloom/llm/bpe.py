@@ -11,12 +11,14 @@ states of shared prefixes are carried on and each new byte costs a few look-ups.
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -28,8 +30,8 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits a text into pieces before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct pieces that may be broadcast with their counts; more are joined by shuffling.
-BROADCAST_PIECES = 2_000_000
+#: The most frequent pieces, whose counts are broadcast; the occurrences of all others are shuffled to their counts.
+BROADCAST_PIECES = 500_000
 #: Pieces that a worker remembers before it starts afresh; only speed depends on it.
 REMEMBERED = 1_000_000
 _STEP = 1000
@@ -45,7 +47,7 @@ class Merges:
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self._exact = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        self._stands: dict[tuple[int, int], bool] = {}
+        self._stands: dict[tuple[int, int], bool] = {}  # checked pairs, up to REMEMBERED
 
     def merge(self, piece: bytes) -> list[int]:
         return self._exact._encode_single_piece(piece)
@@ -55,6 +57,8 @@ class Merges:
         known = self._stands.get((left, right))
         if known is None:
             known = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            if len(self._stands) >= REMEMBERED:
+                self._stands.clear()
             self._stands[left, right] = known
         return known
 
@@ -146,14 +150,16 @@ def encode_texts(df: DataFrame, key: str, text: str, tokenizers: str = TOKENIZER
 # -- token budgets -----------------------------------------------------------------------------
 
 
-def _distinct_pieces(batches):
-    seen: set[str] = set()
+def _counted_pieces(batches):
+    """The distinct pieces of a part of the table, and how often each stands there."""
+    seen: Counter[str] = Counter()
 
     def sent():
-        found = list(seen)
+        found = list(seen.items())
         seen.clear()
         for at in range(0, len(found), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 20_000], pa.string())], ["piece"])
+            piece, times = zip(*found[at : at + 20_000])
+            yield pa.RecordBatch.from_arrays([pa.array(piece, pa.string()), pa.array(times, pa.int64())], ["piece", "times"])
 
     for batch in batches:
         for text in batch.column(0).flatten().to_pylist():
@@ -168,87 +174,90 @@ def _trie(path: str):
     def run(batches):
         bpe = merges(path)
         for batch in batches:
-            pieces = batch.column(0).to_pylist()
-            counts = bpe.counts([p.encode() for p in pieces])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32())], ["piece", "tokens"])
+            counts = bpe.counts([p.encode() for p in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int32())], ["piece", "times", "tokens"])
 
     return run
 
 
 def piece_counts(df: DataFrame, texts: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(piece, tokens)``: every distinct piece of the texts in an array column with its number of tokens.
+    """``(piece, times, tokens)``: every distinct piece of the texts in an array column, how often it stands there and its number of tokens.
 
     Pieces are range-partitioned and sorted, so that each task walks one part of the trie.
     """
-    found = df.select(F.col(texts)).mapInArrow(_distinct_pieces, "piece string").distinct()
+    found = df.select(F.col(texts)).mapInArrow(_counted_pieces, "piece string, times long").groupBy("piece").agg(F.sum("times").alias("times"))
     ordered = found.repartitionByRange("piece").sortWithinPartitions("piece")
-    return ordered.mapInArrow(_trie(f"{tokenizers}/{vocabulary}"), "piece string, tokens int")
+    return ordered.mapInArrow(_trie(f"{tokenizers}/{vocabulary}"), "piece string, times long, tokens int")
 
 
 def _sum_counts(broadcast):
+    """For each row its keys, texts and the tokens of its frequent pieces; and a row for each other piece in it."""
+
     def run(batches):
         pieces, tokens = broadcast.value
-        of = dict(zip(pieces.to_pylist(), tokens.to_pylist())).__getitem__
+        of = dict(zip(pieces.to_pylist(), tokens.to_pylist())).get
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            texts = lists.flatten().to_pylist()
-            each = np.array([sum(map(of, _PIECES.findall(t))) if t else 0 for t in texts], dtype=np.int64)
-            filled = np.array([t is not None for t in texts], dtype=np.int64)
-            count = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            row = np.repeat(np.arange(batch.num_rows), count)
-            passages = np.bincount(row, weights=filled, minlength=batch.num_rows).astype(np.int64)
-            totals = np.bincount(row, weights=each, minlength=batch.num_rows).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(passages), pa.array(totals)], [*batch.schema.names[:-1], "passages", "tokens"])
+            for at in range(0, batch.num_rows, _STEP):
+                part = batch.slice(at, _STEP)
+                lists = part.column(part.num_columns - 1)
+                count = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                row = np.repeat(np.arange(part.num_rows), count)
+                each, rare = np.zeros(len(row), np.int64), Counter()
+                texts = lists.flatten().to_pylist()
+                for i, text in enumerate(texts):
+                    if text:
+                        found = list(map(of, split := _PIECES.findall(text)))
+                        if None in found:
+                            rare.update((row[i], p) for p, n in zip(split, found) if n is None)
+                            found = [n for n in found if n is not None]
+                        each[i] = sum(found)
+                passages = np.bincount(row, weights=[t is not None for t in texts], minlength=part.num_rows).astype(np.int64)
+                totals = np.bincount(row, weights=each, minlength=part.num_rows).astype(np.int64)
+                numbers = np.arange(part.num_rows) + number
+                number += part.num_rows
+                names = ["row", *part.schema.names[:-1], "passages", "tokens", "piece"]
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), *part.columns[:-1], pa.array(passages), pa.array(totals), pa.nulls(part.num_rows, pa.string())], names)
+                if rare:
+                    at_row, piece = zip(*rare)
+                    nothing = [pa.nulls(len(rare), c.type) for c in part.columns[:-1]]
+                    times = pa.array(rare.values(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[list(at_row)]), *nothing, pa.nulls(len(rare), pa.int64()), times, pa.array(piece, pa.string())], names)
 
     return run
 
 
-def _piece_rows(batches):
-    """One row for each row and distinct piece of its texts, with how often it stands there."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, _STEP):
-            part = batch.slice(at, _STEP)
-            row, piece, times = [], [], []
-            for i, texts in enumerate(part.column(part.num_columns - 1).to_pylist()):
-                seen: dict[str, int] = {}
-                for t in texts or ():
-                    for p in _PIECES.findall(t) if t else ():
-                        seen[p] = seen.get(p, 0) + 1
-                row.extend([i] * len(seen))
-                piece.extend(seen)
-                times.extend(seen.values())
-            taken = [c.take(pa.array(row, pa.int64())) for c in part.columns[:-1]]
-            yield pa.RecordBatch.from_arrays([*taken, pa.array(piece, pa.string()), pa.array(times, pa.int64())], [*part.schema.names[:-1], "piece", "times"])
-
-
 def token_counts(
     df: DataFrame, keys: list[str], texts: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, broadcast_pieces: int = BROADCAST_PIECES,
 ) -> DataFrame:
-    """``keys``, ``passages`` and ``tokens``: how many tokens the texts in array column ``texts`` contain.
+    """``keys``, ``passages`` and ``tokens``: how many tokens the texts in array column ``texts`` contain, a row for each row.
 
     Null and empty arrays, null and empty texts have no tokens; ``passages`` counts texts that are
-    not null.  The counts of distinct pieces are joined to the rows by a broadcast up to
-    ``broadcast_pieces``, beyond it by a shuffle of the rows' pieces.  Both ways give one row for each row
-    of ``df``: rows that are alike in keys and texts fall into one group there, whose sum is shared out.
+    not null.  The counts of the ``broadcast_pieces`` most frequent pieces are broadcast and summed in the scan; the other
+    pieces of a row, each rare, are joined to their counts by a shuffle.  Both parts are added for every row, at
+    any size.  Names of other columns don't matter.
     """
     rows = spread(df.select(*keys, F.col(texts).alias("_texts")))
     pieces = stage(piece_counts(rows, "_texts", tokenizers, vocabulary))
-    kind = StructType([*(rows.schema[k] for k in keys), StructField("passages", LongType()), StructField("tokens", LongType())])
-    if pieces.count() <= broadcast_pieces:
-        found = pieces.toArrow()
-        table = tuple(found.column(c).combine_chunks() for c in ("piece", "tokens"))
-        return rows.mapInArrow(_sum_counts(rows.sparkSession.sparkContext.broadcast(table)), kind)
-    marked = rows.withColumn("_mark", F.xxhash64("_texts")).select(*keys, "_mark", "_texts")
-    marks = [*keys, "_mark"]
-    split = StructType([*(marked.schema[k] for k in marks), StructField("piece", StringType()), StructField("times", LongType())])
-    per_row = marked.mapInArrow(_piece_rows, split).join(pieces, "piece").groupBy(*marks).agg(F.sum(F.col("times") * F.col("tokens")).alias("tokens"))
-    size = F.size(F.filter("_texts", lambda t: t.isNotNull()))
-    counted = marked.select(*marks, size.alias("_size")).groupBy(*marks).agg(F.max("_size").alias("_size"), F.count("*").alias("_copies"))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in marks]
-    return (
-        counted.alias("l").join(per_row.alias("r"), same, "left").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-        .select(*(F.col(f"l.{k}") for k in keys), F.greatest("_size", F.lit(0)).cast("long").alias("passages"), F.expr("coalesce(tokens, 0) div _copies").alias("tokens"))
-    )
+    # pieces by how often they stand in the texts, on a scale of an eighth of a doubling: a few hundred cells
+    cell = F.floor(F.log2("times") * 8).cast("int")
+    left, cut = broadcast_pieces, -1
+    for r in pieces.groupBy(cell.alias("cell")).count().orderBy(F.desc("cell")).collect():
+        left -= r["count"]
+        if left < 0:
+            cut = r["cell"]
+            break
+    found = pieces.where(cell > cut).select("piece", "tokens").toArrow()
+    table = tuple(found.column(c).combine_chunks() for c in ("piece", "tokens"))
+    inner = [StructField(f"_{i}", rows.schema[k].dataType) for i, k in enumerate(keys)]
+    kind = StructType([StructField("row", LongType()), *inner, *(StructField(c, LongType()) for c in ("passages", "tokens")), StructField("piece", StringType())])
+    renamed = rows.toDF(*(f.name for f in inner), "_texts")
+    summed = stage(renamed.mapInArrow(_sum_counts(rows.sparkSession.sparkContext.broadcast(table)), kind))
+    rest = summed.where("piece IS NOT NULL").select("row", "piece", F.col("tokens").alias("times"))
+    joined = rest.join(pieces.where(cell <= cut).select("piece", F.col("tokens").alias("each")), "piece")
+    more = joined.groupBy("row").agg(F.sum(F.col("times") * F.col("each")).alias("more"))
+    whole = summed.where("piece IS NULL").join(more, "row", "left")
+    return whole.select(*(F.col(f.name).alias(k) for f, k in zip(inner, keys)), "passages", (F.col("tokens") + F.coalesce("more", F.lit(0))).alias("tokens"))
 
 
 def language(code: Column) -> Column:
