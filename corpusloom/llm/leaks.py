@@ -3,7 +3,7 @@
 A document carries part of an item if ``run`` or more words in a row of the document stand in a row in
 the item.  Every window of ``run`` words of an item is represented by its two rarest terms, by document
 frequency over all documents.  For these terms the documents have a positional index (term, document,
-places); a posting at place p for a term at place q of an item is a hit on the diagonal p - q, a window can
+places), made from word hashes staged once; a posting at place p for a term at place q of an item is a hit on the diagonal p - q, a window can
 only be present on a diagonal that both its terms hit, and what is left is compared word by word.
 """
 from __future__ import annotations
@@ -44,17 +44,40 @@ def _located(vocabulary: np.ndarray, flat: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == flat, at, -1)
 
 
+def _hashed(batches):
+    """The words of each text in order, as 32-bit hashes."""
+    memo = Memo()
+    for batch in batches:
+        for at in range(0, batch.num_rows, _STEP):
+            part = batch.slice(at, _STEP)
+            flat, lengths = _sequences(part.column(1).to_pylist(), memo)
+            lists = pa.ListArray.from_arrays(pa.array(starts(lengths), pa.int32()), pa.array(_short(flat).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["key", "words"])
+
+
+def _short(flat: np.ndarray) -> np.ndarray:
+    return (flat >> np.uint64(32)).astype(np.uint32)
+
+
+def _terms(batch: pa.RecordBatch, column: int, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of the vocabulary in a batch: the row, the term and the place in the text."""
+    lists = batch.column(column)
+    lengths = lists.value_lengths().to_numpy().astype(np.int64)
+    term = _located(vocabulary, lists.flatten().to_numpy().view(np.uint32))
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(term)) - starts(lengths)[:-1][row]
+    kept = np.nonzero(term >= 0)[0]
+    return row[kept], term[kept], place[kept]
+
+
 def _frequencies(broadcast):
     def run(batches):
-        vocabulary, memo = broadcast.value, Memo()
+        vocabulary = broadcast.value
         count = np.zeros(len(vocabulary), dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, _STEP):
-                flat, lengths = _sequences(batch.column(0).slice(at, _STEP).to_pylist(), memo)
-                term = _located(vocabulary, flat)
-                row = np.repeat(np.arange(len(lengths)), lengths)[term >= 0]
-                once = np.unique(row * max(len(vocabulary), 1) + term[term >= 0])
-                count += np.bincount(once % max(len(vocabulary), 1), minlength=len(vocabulary))
+            row, term, _ = _terms(batch, 0, vocabulary)
+            once = np.unique(row * max(len(vocabulary), 1) + term)
+            count += np.bincount(once % max(len(vocabulary), 1), minlength=len(vocabulary))
         seen = np.nonzero(count)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(count[seen])], ["term", "documents"])
 
@@ -63,23 +86,16 @@ def _frequencies(broadcast):
 
 def _postings(broadcast):
     def run(batches):
-        vocabulary, memo = broadcast.value, Memo()
+        vocabulary = broadcast.value
         for batch in batches:
-            for at in range(0, batch.num_rows, _STEP):
-                part = batch.slice(at, _STEP)
-                flat, lengths = _sequences(part.column(1).to_pylist(), memo)
-                term = _located(vocabulary, flat)
-                row = np.repeat(np.arange(len(lengths)), lengths)
-                place = np.arange(len(flat)) - starts(lengths)[:-1][row]
-                kept = np.nonzero(term >= 0)[0]
-                if not len(kept):
-                    continue
-                kept = kept[np.argsort(row[kept] * len(vocabulary) + term[kept], kind="stable")]
-                group = row[kept] * len(vocabulary) + term[kept]
-                first = np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0]
-                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(kept)).astype(np.int32)), pa.array(place[kept].astype(np.int32)))
-                ids = part.column(0).take(pa.array(row[kept[first]]))
-                yield pa.RecordBatch.from_arrays([pa.array(term[kept[first]].astype(np.int32)), ids, places], ["term", "key", "places"])
+            row, term, place = _terms(batch, 1, vocabulary)
+            if not len(row):
+                continue
+            by = np.argsort(row * len(vocabulary) + term, kind="stable")
+            row, term, place = row[by], term[by], place[by]
+            first = np.nonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])]))[0]
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(place.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(term[first].astype(np.int32)), batch.column(0).take(pa.array(row[first])), places], ["term", "key", "places"])
 
     return run
 
@@ -130,21 +146,23 @@ def leaked_passages(
     asked = items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["item_id"])
     size = asked.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (2 * block_words)))
+    kind = StructType([source.schema["key"], StructField("words", ArrayType(IntegerType()))])
+    hashed = stage(source.mapInArrow(_hashed, kind))  # read by every step up to the comparison, which takes the texts that are left
     found = None
     for block in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        pairs = _leaks_of(spark, source, part.toArrow(), run)
+        pairs = _leaks_of(spark, source, hashed, part.toArrow(), run)
         found = pairs if found is None else found.union(pairs)
     return found.distinct().select(F.col("key").alias(key), F.col("item_id").alias(item_key))
 
 
-def _leaks_of(spark, source: DataFrame, asked: pa.Table, run: int) -> DataFrame:
+def _leaks_of(spark, source: DataFrame, hashed: DataFrame, asked: pa.Table, run: int) -> DataFrame:
     flat, lengths = _sequences(asked.column("text").to_pylist(), Memo())
     begin = starts(lengths)
     words = [flat[begin[i] : begin[i + 1]] for i in range(len(lengths))]
-    vocabulary = np.unique(np.concatenate([flat[:0], *(w for w in words if len(w) >= run)]))
+    vocabulary = np.unique(_short(np.concatenate([flat[:0], *(w for w in words if len(w) >= run)])))
     counted = (
-        source.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "term int, documents long")
+        hashed.select("words").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "term int, documents long")
         .groupBy("term").agg(F.sum("documents").alias("documents")).toArrow()
     )
     frequency = np.zeros(len(vocabulary), dtype=np.int64)
@@ -153,7 +171,7 @@ def _leaks_of(spark, source: DataFrame, asked: pa.Table, run: int) -> DataFrame:
     for item, sequence in enumerate(words):
         if len(sequence) < run:
             continue
-        term = _located(vocabulary, sequence)
+        term = _located(vocabulary, _short(sequence))
         seen = frequency[term]
         for at in range(len(sequence) - run + 1):
             if seen[at : at + run].min() > 0:  # else no document has this window
@@ -161,7 +179,7 @@ def _leaks_of(spark, source: DataFrame, asked: pa.Table, run: int) -> DataFrame:
                     anchors.add((int(term[q]), item, int(q)))
     chosen, number = np.unique(np.array([a[0] for a in anchors], dtype=np.int64), return_inverse=True)
     index = stage(
-        source.mapInArrow(
+        hashed.mapInArrow(
             _postings(spark.sparkContext.broadcast(vocabulary[chosen])),
             StructType([StructField("term", IntegerType()), source.schema["key"], StructField("places", ArrayType(IntegerType()))]),
         )
