@@ -128,6 +128,25 @@ ABUSIVE = ["Mày đúng là đồ súc vật", "do ngu, con cho", "đ.ồ n.g.u.
 FINE = ["Con chó nhà hàng xóm cắn người thì ai đền?", "Bị cáo thừa nhận đã chửi “đồ ngu, đồ lợn” với nhân viên", "Phát tán ảnh khỏa thân, phim khiêu dâm lên mạng bị phạt", "I felt stupid reading the part twice.", "Quỹ Nhụi Thắng Diễn nộp biên lai", "Hate speech that calls migrants vermin must be removed", "", None]
 
 
+BENIGN = [
+    "I have some questions about the lease.", "some people in the office", "So watch out for the deadline", "If you die, the insurer pays your heirs", "driven out of their homes by the flood",
+    "cannot reach orgasm after this surgery", "you should suffer no loss under clause 4", "dirty dog grooming rules apply", "He did not say you are a stupid pig", "Women are not animals",
+    "Rats are animals that carry disease", "The infected pigs must be put down", "I will cut your working hours", "Người dân phải diệt sạch sâu bọ, mầm bệnh trên ruộng", "Con chó, con mèo và con lợn của ông Hai",
+    "Bệnh nhân khỏa thân khi chụp X quang", "Nạn nhân cho biết bị chửi là đồ ngu", "Luật này ngu ngốc thật", "phường Hèn Ngảnh, ngân hàng Lợn Cặc Thùn", "The museum shows a nude painting of a woman",
+]
+MEANT = [
+    "crawl back to your hole", "I hope your whole family gets cancer", "Nobody wants scum like you around here", "Mày là thằng hèn mạt, đáng khinh", "Tao sẽ cho mày biết tay", "Shut your ugly mouth",
+    "You people are nothing but vermin and should be wiped out", "you absolute waste of oxygen", "lũ nhập cư toàn ký sinh trùng, tống cổ hết đi", "migrants are a disease and must be kicked out", "tao ma gap thi tao dap cho vo mat",
+]
+
+
+def test_abuse_by_context_and_target():
+    assert [t for t in BENIGN if sum(abuse.score(t).values()) >= abuse.CASE - 1e-9] == []
+    assert [t for t in MEANT if sum(abuse.score(t).values()) < abuse.CASE - 1e-9] == []
+    aimed, alone = (sum(abuse.score(t).values()) for t in ("You are a stupid pig", "a stupid question about the pig"))
+    assert aimed > alone
+
+
 def test_abuse(spark):
     df = spark.createDataFrame([(i, t, 0.0) for i, t in enumerate(ABUSIVE + FINE)] + [(0, ABUSIVE[0], 1.0), (None, ABUSIVE[1], 1.0)], "i int, t string, score double")
     got = [(r.i, r.score >= abuse.CASE) for r in abuse.score_texts(df, "i", "t").collect()]
