@@ -87,43 +87,76 @@ BROKEN = {
 
 def test_pair_defects(spark):
     rows = [(1, QUESTION, [*SOUND, *BROKEN], 0), (1, QUESTION, [*SOUND, *BROKEN], 9), (2, QUESTION, None, 0), (3, QUESTION, [], 0), (4, "  ", ["x"], 0), (5, None, [None], 0), (None, QUESTION, [""], 0)]
+    # a refusal is one because its opening comes back under another prompt
+    rows += [(6, "Ai cấp giấy phép xây dựng nhà ở riêng lẻ?", [a for a, d in BROKEN.items() if d == "refusal"], 0)]
     df = spark.createDataFrame(rows, "k int, q string, a array<string>, opening int")
     found = pairdefects.pair_defects(df, "k", "q", "a").collect()
     got = {(r.k, r.pos_no): r.defect for r in found}
     assert len(found) == len(got)
-    want = {(1, len(SOUND) + i): d for i, d in enumerate(BROKEN.values(), 1)} | {(2, 0): "empty", (3, 0): "empty"}
+    want = {(1, len(SOUND) + i): d for i, d in enumerate(BROKEN.values(), 1)} | {(2, 0): "empty", (3, 0): "empty", (6, 1): "refusal", (6, 2): "refusal"}
     assert got == want
     assert pairdefects.pair_defects(df.limit(0), "k", "q", "a").count() == 0
 
 
-def test_refusal_templates_by_recurrence(spark):
-    same = "xin thứ lỗi quý khách nội dung trao đổi hôm nay vượt quyền hạn"
-    rows = [(f"{same}", i < 3, i) for i in range(4)] + [("theo khoản # điều # luật số # người lao động được", False, i) for i in range(5)]
-    found = pairdefects.refusal_openings(spark.createDataFrame(rows, "opening string, cue boolean, prompt long"))
-    assert [r.opening for r in found.collect()] == [same]
+ANSWER = "opening string, prompt long, cue boolean, words int, particular int, shared int"
+
+
+def test_refusal_templates_without_any_wording(spark):
+    """Templates that say nothing in particular, not known to the library as refusals; sound ones recur as often."""
+    bare = "quý vị thứ lỗi nội dung trao đổi hôm nay vượt quyền hạn"
+    rows = [(bare, i, False, 20, 0, 1) for i in range(9)] + [(bare.replace("hôm", "bữa"), 50, False, 20, 0, 1)]
+    rows += [("theo khoản # điều # luật số # người lao động được", i, False, 60, 20, 2) for i in range(300)]  # full of particulars
+    rows += [("mức này là # đồng", i, False, 9, 3, 0) for i in range(300)] + [("có", i, False, 1, 0, 0) for i in range(300)]  # short
+    rows += [("người lao động gửi đơn đề nghị tới cơ quan quản lý rồi", i, False, 20, 0, 12) for i in range(300)]  # speaks of the prompt
+    rows += [("một câu chuyện khác hẳn không liên quan tới những gì đã", 7, False, 20, 0, 0)] * 9  # one prompt only
+    found = {r.opening: r.refusal for r in pairdefects.refusal_openings(spark.createDataFrame(rows, ANSWER)).collect()}
+    assert {o for o, refusal in found.items() if refusal} == {bare, bare.replace("hôm", "bữa")}
 
 
 def test_refusal_templates_of_variants(spark):
     base = "nội dung trao đổi hôm nay vượt quyền hạn của bên hỗ trợ".split()
     variants = [" ".join(base[:i] + ["khác"] + base[i + 1 :]) for i in range(12)] + [" ".join(base[:6] + ["đã"] + base[6:11])]
-    rows = [(" ".join(base), True, i) for i in range(20)] + [(v, False, 100 + i) for i, v in enumerate(variants)]
-    # recurrence or regret alone is no refusal
-    rows += [("unfortunately for N # of N # bars any attempt to merge", False, i) for i in range(30)]
-    rows += [("mức này là # đồng", False, i) for i in range(30)] + [("người lao động xin lỗi bằng văn bản", False, i) for i in range(30)]
-    found = pairdefects.refusal_openings(spark.createDataFrame(rows, "opening string, cue boolean, prompt long"))
+    rows = [(" ".join(base), i, True, 20, 4, 0) for i in range(20)] + [(v, 100 + i, False, 20, 4, 0) for i, v in enumerate(variants)]
+    # vague answers of which nobody speaks of inability
+    rows += [("unfortunately for N # of N # bars any attempt to merge", i, False, 30, 9, 0) for i in range(30)]
+    found = pairdefects.refusal_openings(spark.createDataFrame(rows, ANSWER)).where("refusal")
     assert sorted(r.opening for r in found.collect()) == sorted([" ".join(base), *variants])
 
 
 def test_refusal_clusters_are_components(spark):
     words = [f"w{i}" for i in range(40)]
     chain = [" ".join(words[3 * i : 3 * i + 10]) for i in range(10)]  # neighbours share 6 of 12 shingles, others at most 3
-    rows = [(o, True, 1 if i < 9 else 2) for i, o in enumerate(chain)]  # only the last one has another prompt
-    # least openings of many buckets, which do not decline and link to nothing
-    rows += [(f"a{i} " + " ".join(o.split()[j : j + 3]) + f" b{i} c{i} d{i} e{i} f{i} g{i}", False, 5) for i, o in enumerate(chain) for j in range(7)]
-    found = pairdefects.refusal_openings(spark.createDataFrame(rows, "opening string, cue boolean, prompt long"))
+    rows = [(o, 1 if i < 9 else 2, True, 20, 4, 0) for i, o in enumerate(chain)]  # only the last one has another prompt
+    # members of many buckets that link to nothing
+    rows += [(f"a{i} " + " ".join(o.split()[j : j + 3]) + f" b{i} c{i} d{i} e{i} f{i} g{i}", 5, False, 20, 4, 0) for i, o in enumerate(chain) for j in range(7)]
+    found = pairdefects.refusal_openings(spark.createDataFrame(rows, ANSWER)).where("refusal")
     assert sorted(r.opening for r in found.collect()) == sorted(chain)
 
 
+def test_links_connect_what_all_pairs_connect(spark):
+    rng = random.Random(8)
+    pool = [f"v{i}" for i in range(60)]
+    made = []
+    for _ in range(300):
+        w = rng.choice(made).split() if made and rng.random() < 0.7 else [rng.choice(pool) for _ in range(12)]
+        w[rng.randrange(12)] = rng.choice(pool)
+        made.append(" ".join(w))
+    made = sorted(set(made))
+    sets = [set(pairdefects._shingles(o)) for o in made]
+    label = list(range(len(made)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= pairdefects.SIMILAR * len(a | sets[j]) and label[i] != label[j]:
+                old = label[j]
+                label = [label[i] if x == old else x for x in label]
+    links = pairdefects.opening_links(spark.createDataFrame([(o,) for o in made], "opening string")).collect()
+    found = {o: o for o in made}
+    for r in links:
+        old = found[r.head]
+        found = {o: found[r.opening] if x == old else x for o, x in found.items()}
+    assert len(set(found.values())) <= len(set(label)) * 1.02
+
+
 ABUSIVE = ["Mày đúng là đồ súc vật", "do ngu, con cho", "đ.ồ n.g.u. Thằng kh*n nạn!", "cút kh0i đây ngay", "Go rot somewhere, you waste of air", "$h0w me your tits for 5 coins", "bọn dân Xa toàn là ký sinh trùng, phải đuổi hết khỏi Nam Sơn"]
 FINE = ["Con chó nhà hàng xóm cắn người thì ai đền?", "Bị cáo thừa nhận đã chửi “đồ ngu, đồ lợn” với nhân viên", "Phát tán ảnh khỏa thân, phim khiêu dâm lên mạng bị phạt", "I felt stupid reading the part twice.", "Quỹ Nhụi Thắng Diễn nộp biên lai", "Hate speech that calls migrants vermin must be removed", "", None]
 
