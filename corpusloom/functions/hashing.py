@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 
 import numpy as np
@@ -21,7 +22,13 @@ def sha1_number(value: Column, bits: int = 32) -> Column:
     """The first ``bits`` / 8 bytes of the SHA-1 digest, little-endian, for up to 32 bits."""
     digest = F.sha1(value.cast("binary"))
     pairs = [F.substring(digest, 2 * i + 1, 2) for i in reversed(range(bits // 8))]
-    return F.conv(F.concat(*pairs), 16, 10).cast("long")
+    return F.conv(F.concat(*pairs), 16, 10).cast("long")  # above 63 bits: sha1_digits
+
+
+def sha1_digits(value: Column, bits: int = 64) -> Column:
+    """The same as decimal digits, for up to 64 bits, which a long could not hold without a sign."""
+    digest = F.sha1(value.cast("binary"))
+    return F.conv(F.concat(*[F.substring(digest, 2 * i + 1, 2) for i in reversed(range(bits // 8))]), 16, 10)
 
 
 def xxh3_number(bits: int = 64):
@@ -70,6 +77,39 @@ def optimal_bands(threshold: float, count: int, false_positive: float = 0.5, fal
     return best[1], best[2]
 
 
+class _Minima:
+    """The least permuted hashes of sets of grams, inside a Python worker."""
+
+    def __init__(self, count: int, bits: int, seed: int, hasher):
+        self.prime, self.mask, self.kind = PERMUTATION_FIELD[bits]
+        self.a, self.b = permutations(count, bits, seed)
+        self.count, self.bits, self.hasher = count, bits, hasher
+        self.memo: dict[str, int] = {}
+        self.unpack = struct.Struct({16: "<H", 32: "<I", 64: "<Q"}[bits]).unpack
+
+    def of(self, grams: set[str]) -> np.ndarray:
+        hashes, memo = [], self.memo
+        for g in grams:
+            h = memo.get(g)
+            if h is None:
+                if len(memo) > 500_000:
+                    memo.clear()
+                data = g.encode()
+                h = memo[g] = self.hasher(data) if self.hasher else self.unpack(hashlib.sha1(data).digest()[: self.bits // 8])[0]
+            hashes.append(h)
+        kind = self.kind
+        least = np.full(self.count, self.mask, dtype=kind)
+        for at in range(0, len(hashes), 512):
+            mixed = np.array(hashes[at : at + 512], dtype=kind)[:, None] * self.a[None, :]
+            mixed += self.b[None, :]
+            if self.bits == 64:
+                mixed %= kind(self.prime)
+            else:  # below twice the prime, so one subtraction is the remainder
+                np.subtract(mixed, kind(self.prime), out=mixed, where=mixed >= kind(self.prime))
+            np.minimum(least, mixed.min(axis=0), out=least)
+        return least
+
+
 def band_signatures(
     df: DataFrame, key: str, grams: Column, bands: int, rows: int, count: int = 250, bits: int = 32, seed: int = 42, hasher=None
 ) -> DataFrame:
@@ -80,36 +120,51 @@ def band_signatures(
     source = spread(df).select(F.col(key).alias("key"), F.coalesce(grams, F.array().cast("array<string>")).alias("grams"))
 
     def run(batches):
-        prime, mask, kind = PERMUTATION_FIELD[bits]
-        a, b = permutations(count, bits, seed)
-        memo: dict[str, int] = {}
-        unpack = struct.Struct({16: "<H", 32: "<I", 64: "<Q"}[bits]).unpack
+        minima = _Minima(count, bits, seed, hasher)
         for batch in batches:
-            found = []
-            for grams_of in batch.column(1).to_pylist():
-                hashes = []
-                for g in set(grams_of):
-                    h = memo.get(g)
-                    if h is None:
-                        if len(memo) > 500_000:
-                            memo.clear()
-                        data = g.encode()
-                        h = memo[g] = hasher(data) if hasher else unpack(hashlib.sha1(data).digest()[: bits // 8])[0]
-                    hashes.append(h)
-                least = np.full(count, mask, dtype=kind)
-                for at in range(0, len(hashes), 512):
-                    part = np.array(hashes[at : at + 512], dtype=kind)
-                    mixed = part[:, None] * a[None, :]
-                    mixed += b[None, :]
-                    if bits == 64:
-                        mixed %= kind(prime)
-                    else:  # below twice the prime, so one subtraction is the remainder
-                        np.subtract(mixed, kind(prime), out=mixed, where=mixed >= kind(prime))
-                    np.minimum(least, mixed.min(axis=0), out=least)
-                found.append(least)
+            found = [minima.of(set(g)) for g in batch.column(1).to_pylist()]
             sigs = [",".join(map(str, s[i * rows : (i + 1) * rows])) for s in found for i in range(bands)]
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), bands)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)), pa.array(sigs, pa.string())], ["key", "band", "sig"])
 
     kind = StructType([source.schema["key"], StructField("band", IntegerType()), StructField("sig", StringType())])
     return source.mapInArrow(run, kind).withColumnRenamed("key", key)
+
+
+_SPLIT = re.compile(r"\W")
+
+
+def band_keys(
+    df: DataFrame, key: str, text: str, bands: int, rows: int, ngram: int = 5, least: int = 5, count: int = 250, bits: int = 32, seed: int = 42, hasher=None, drop_short: bool = False,
+) -> DataFrame:
+    """``(key, band, sig)`` with a 64-bit number for each band, and a row with band -1 for every text that takes part.
+
+    Texts are split, cut into grams and hashed in one pass.  Those with fewer than ``least`` parts, empty ones counted, and null
+    texts take no part; texts with fewer than ``least`` words have no grams and share every band, unless ``drop_short``.
+    """
+    source = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
+
+    def run(batches):
+        minima = _Minima(count, bits, seed, hasher)
+        fold = np.random.RandomState(seed + 1).randint(1, 1 << 62, rows).astype(np.uint64) | np.uint64(1)
+        for batch in batches:
+            kept, found = [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                parts = _SPLIT.split(t.lower()) if t is not None else []
+                words = [w for w in parts if w]
+                if len(parts) < least or (drop_short and len(words) < least):
+                    continue
+                grams = set() if len(words) < least else {" ".join(words)} if len(words) < ngram else {" ".join(words[j : j + ngram]) for j in range(len(words) - ngram + 1)}
+                kept.append(i)
+                found.append(minima.of(grams)[: bands * rows])
+            if not kept:
+                continue
+            cells = np.stack(found).astype(np.uint64).reshape(len(kept), bands, rows)
+            mixed = (cells + np.uint64(0x9E3779B97F4A7C15)) * fold
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            sigs = np.concatenate([np.zeros((len(kept), 1), np.uint64), mixed.sum(axis=2, dtype=np.uint64)], axis=1).reshape(-1).view(np.int64)
+            ids = batch.column(0).take(pa.array(np.repeat(kept, bands + 1)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(-1, bands, dtype=np.int32), len(kept))), pa.array(sigs)], ["key", "band", "sig"])
+
+    kind = StructType([source.schema["key"], StructField("band", IntegerType()), StructField("sig", LongType())])
+    return source.mapInArrow(run, kind).withColumnRenamed("key", key)

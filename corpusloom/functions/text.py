@@ -154,8 +154,9 @@ def l2_normalize(vector: Column) -> Column:
 
 
 def seeded(seed: int, *keys) -> Column:
-    """A number in [0, 1) that only depends on the keys and the seed."""
-    return F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11).cast("double") / float(1 << 53)
+    """A number in [0, 1) that only depends on the keys and the seed: 48 bits of an MD5 digest, which any SQL engine can compute."""
+    digest = F.md5(F.concat_ws(":", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys], F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
 # -- Arrow UDFs ------------------------------------------------------------------------------

@@ -1,12 +1,10 @@
 """Deduplication: exact, by MinHash buckets with three ways of verification, and what follows from clusters."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StructField, StructType
 
 from corpusloom.functions import text as T
-from corpusloom.functions.hashing import band_signatures, optimal_bands
+from corpusloom.functions.hashing import band_keys, optimal_bands
 from corpusloom.operators.graph import connected_components
 from corpusloom.plans.staging import stage
 
@@ -14,10 +12,12 @@ from corpusloom.plans.staging import stage
 def exact_dedup(df: DataFrame, by: list[str], order: str) -> DataFrame:
     """The first row, by ``order``, of all rows that are equal in ``by``; nulls are equal to each other.
 
-    A partial aggregate finds the first order value, so equal rows are never gathered in one task.
+    A partial aggregate finds the first order value, so equal rows are never gathered in one task.  Rows that are
+    equal in ``by`` and ``order`` both are all kept if that is the first value.
     """
-    first = df.groupBy(*by).agg(F.min(order).alias(order)).select(order)
-    return df.join(first, order, "left_semi")
+    first = df.select(F.struct(*by).alias("_by"), F.col(order).alias("_order")).groupBy("_by").agg(F.min("_order").alias("_order"))
+    keyed = df.withColumn("_own", F.struct(*by))
+    return keyed.join(first, (F.col("_own").eqNullSafe(F.col("_by"))) & F.col(order).eqNullSafe(F.col("_order")), "left_semi").drop("_own")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -47,15 +47,12 @@ def lsh_clusters(
     """``(key, cluster)`` for rows with ``least`` or more parts; the label of a cluster is its least key.
 
     Rows with fewer than ``least`` words have no shingles and share all buckets, unless ``drop_short`` leaves
-    them out; verification separates them.  Null texts are left out.
+    them out; verification separates them.  Null texts are left out.  Bands are compared by 64-bit numbers.
     """
-    rows = df.where(F.col(text).isNotNull() & T.long_enough(F.col(text), least)).select(key, text)
-    if drop_short:
-        rows = rows.where(F.size(T.shingles(F.col(text), ngram, least)) > 0)
     b, r = bands or optimal_bands(threshold, count)
-    signed = stage(band_signatures(rows, key, T.shingles(F.col(text), ngram, least), b, r, count, bits, seed, hasher))
-    labels = connected_components(lsh_edges(signed, key)).select(F.col("node").alias(key), F.col("component").alias("cluster"))
-    return rows.select(key).join(labels, key, "left").select(key, F.coalesce("cluster", key).alias("cluster"))
+    signed = stage(band_keys(df, key, text, b, r, ngram, least, count, bits, seed, hasher, drop_short))
+    labels = connected_components(lsh_edges(signed.where("band >= 0"), key)).select(F.col("node").alias(key), F.col("component").alias("cluster"))
+    return signed.where("band < 0").select(key).join(labels, key, "left").select(key, F.coalesce("cluster", key).alias("cluster"))
 
 
 def cluster_pairs(df: DataFrame, key: str, text: str, clusters: DataFrame) -> DataFrame:
@@ -74,6 +71,36 @@ def cluster_pairs(df: DataFrame, key: str, text: str, clusters: DataFrame) -> Da
     return across.union(member.select("cluster", F.col("_head").alias("a"), F.col(key).alias("b"), equal.alias("score")))
 
 
+def similar_pairs(sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """``(cluster, a, b, score)``: pairs a < b of a cluster whose ``_words`` resemble each other more than ``threshold``.
+
+    Two sets that do share one of their rarest words, of which each set has n - ceil(threshold n) + 1; only
+    members of a cluster that have such a word in common are compared.  Equal sets are compared through their least member.
+    """
+    heads = sets.withColumn("_words", F.array_sort("_words")).groupBy("cluster", "_words").agg(F.min(key).alias("_head"))
+    words = heads.select("cluster", "_head", F.size("_words").alias("_n"), F.explode("_words").alias("_word"))
+    counts = words.groupBy("_word").agg(F.count("*").alias("_df"))
+    ranked = words.join(counts, "_word").groupBy("cluster", "_head", "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_word"))).alias("_ranked"))
+    prefix = F.slice("_ranked", 1, (F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9) + 1).cast("int"))
+    posted = ranked.select("cluster", "_head", "_n", F.explode(F.transform(prefix, lambda x: x["_word"])).alias("_word"))
+    a = posted.select("cluster", "_word", F.col("_head").alias("a"), F.col("_n").alias("_na"))
+    b = posted.select("cluster", "_word", F.col("_head").alias("b"), F.col("_n").alias("_nb"))
+    fits = (F.least("_na", "_nb") >= F.greatest("_na", "_nb") * threshold) & (F.col("a") < F.col("b"))
+    near = a.join(b, ["cluster", "_word"]).where(fits).select("cluster", "a", "b").distinct()
+    left = heads.select(F.col("_head").alias("a"), F.col("_words").alias("_wa"))
+    right = heads.select(F.col("_head").alias("b"), F.col("_words").alias("_wb"))
+    scored = near.join(left, "a").join(right, "b").select("cluster", "a", "b", jaccard(F.col("_wa"), F.col("_wb")).alias("score"))
+    member = sets.withColumn("_words", F.array_sort("_words")).where(F.size("_words") > 0).join(heads, ["cluster", "_words"]).where(F.col(key) != F.col("_head"))
+    equal = member.select("cluster", F.col("_head").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("score"))
+    return scored.union(equal).where(F.col("score") > threshold)
+
+
+def _clustered_sets(df: DataFrame, key: str, text: str, clusters: DataFrame) -> DataFrame:
+    """Word sets of the members of clusters of several rows."""
+    several = clusters.groupBy("cluster").agg(F.count("*").alias("_n")).where("_n > 1").select("cluster")
+    return df.select(key, text).join(clusters.select(key, "cluster").join(several, "cluster", "left_semi"), key).select(key, "cluster", T.numbered_words(F.col(text)).alias("_words"))
+
+
 def verify_centroid(df: DataFrame, key: str, text: str, clusters: DataFrame, threshold: float) -> DataFrame:
     """``(key, cluster, score, parent)``: rows keep the label if they resemble its root more than ``threshold``, else stand alone."""
     sets = df.select(key, T.numbered_words(F.col(text)).alias("_words"))
@@ -85,42 +112,27 @@ def verify_centroid(df: DataFrame, key: str, text: str, clusters: DataFrame, thr
 
 def verify_full(df: DataFrame, key: str, text: str, clusters: DataFrame, threshold: float) -> DataFrame:
     """``(key, cluster)``: components over the pairs of a cluster that resemble each other more than ``threshold``."""
-    edges = cluster_pairs(df, key, text, clusters).where(F.col("score") > threshold).select(F.col("b").alias("src"), F.col("a").alias("dst"))
+    edges = similar_pairs(stage(_clustered_sets(df, key, text, clusters)), key, threshold).select(F.col("b").alias("src"), F.col("a").alias("dst"))
     parts = connected_components(edges).select(F.col("node").alias(key), F.col("component").alias("_part"))
     return clusters.join(parts, key, "left").select(key, F.coalesce("_part", key).alias("cluster"))
 
 
-def verify_previous(df: DataFrame, key: str, text: str, clusters: DataFrame, threshold: float, largest: int = 5000) -> DataFrame:
+def verify_previous(df: DataFrame, key: str, text: str, clusters: DataFrame, threshold: float) -> DataFrame:
     """``(key, cluster)``: in order of keys, each row takes the label of the first earlier member it resembles, else its own.
 
-    The label chain is a forest: each row points to its first match, and its label is the root above it.  Small
-    clusters are walked in one task each; clusters of more than ``largest`` rows take the links from
-    ``cluster_pairs`` and their roots as components, which are the same roots.
+    The label chain is a forest: each row points to its first match, and its label is the root above it, which is the
+    least key of its tree; so the labels are the components over first matches.
     """
-    size = clusters.groupBy("cluster").agg(F.count("*").alias("_n"))
-    sized = clusters.join(size, "cluster")
-    kind = df.schema[key].dataType
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(key)
-        ids, sets = frame[key].tolist(), [set(w) for w in frame["_words"]]
-        labels: list = []
-        for i, own in enumerate(sets):
-            label = ids[i]
-            for j in range(i):
-                common = len(own & sets[j])
-                if common and common / len(own | sets[j]) > threshold:
-                    label = labels[j]
-                    break
-            labels.append(label)
-        return pd.DataFrame({key: ids, "cluster": labels})
-
-    small = sized.where(F.col("_n") <= largest).join(df.select(key, T.numbered_words(F.col(text)).alias("_words")), key)
-    walked = small.groupBy("cluster").applyInPandas(walk, StructType([StructField(key, kind), StructField("cluster", kind)]))
-    big = sized.where(F.col("_n") > largest).select(key, "cluster")
-    first = cluster_pairs(df, key, text, big).where(F.col("score") > threshold).groupBy("b").agg(F.min("a").alias("a"))
-    parts = connected_components(first, "b", "a").select(F.col("node").alias(key), F.col("component").alias("_part"))
-    return walked.union(big.join(parts, key, "left").select(key, F.coalesce("_part", key)))
+    sets = stage(_clustered_sets(df, key, text, clusters))
+    heads = similar_pairs(sets, key, threshold)
+    # a copy resembles whatever its least equal member resembles, and that member
+    ordered = sets.select(key, "cluster", F.array_sort("_words").alias("_words"))
+    least = ordered.where(F.size("_words") > 0).groupBy("cluster", "_words").agg(F.min(key).alias("_head"))
+    member = stage(ordered.join(least, ["cluster", "_words"]).select(F.col(key).alias("b"), "_head"))
+    first = heads.groupBy("b").agg(F.min("a").alias("a"))
+    of_head = member.join(first.withColumnRenamed("b", "_head"), "_head", "left").select("b", F.least(F.coalesce("a", "_head"), "_head").alias("a")).where("a < b")
+    parts = connected_components(of_head, "b", "a").select(F.col("node").alias(key), F.col("component").alias("_part"))
+    return clusters.join(parts, key, "left").select(key, F.coalesce("_part", key).alias("cluster"))
 
 
 VERIFY = {"centroid": verify_centroid, "previous": verify_previous, "full": verify_full}

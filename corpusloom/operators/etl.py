@@ -66,8 +66,12 @@ def ids_of_texts(texts: DataFrame, text: str, corpus: DataFrame, key: str, order
 
 def merge_by(df: DataFrame, key: str, lists: list[str]) -> DataFrame:
     """One row per key with the sorted union of each array column; null keys, arrays and entries are left out."""
-    merged = [F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(c)), lambda x: x.isNotNull()))).alias(c) for c in lists]
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*merged)
+    rows = df.where(F.col(key).isNotNull())
+    out = rows.select(key).distinct()
+    for c in lists:  # entries are made distinct before they are gathered, so a hot key holds each of them once
+        entries = rows.select(key, F.explode(c).alias("_entry")).where("_entry IS NOT NULL").distinct()
+        out = out.join(entries.groupBy(key).agg(F.array_sort(F.collect_list("_entry")).alias(c)), key, "left").withColumn(c, F.coalesce(c, F.array().cast(df.schema[c].dataType)))
+    return out
 
 
 def keep_in(df: DataFrame, row: str, ids: str, labels: str, allowed: DataFrame, key: str) -> DataFrame:
@@ -83,6 +87,39 @@ def keep_in(df: DataFrame, row: str, ids: str, labels: str, allowed: DataFrame,
     )
 
 
+def non_empty(df: DataFrame, *arrays: str) -> DataFrame:
+    """Rows whose arrays have at least one entry each; a null array has none."""
+    for a in arrays:
+        df = df.where(F.coalesce(F.size(a), F.lit(0)) > 0)
+    return df
+
+
+def sound_pairs(df: DataFrame, first: str, second: str, measure, most: int = 8192) -> DataFrame:
+    """Pairs without a null side of which neither exceeds ``most`` by ``measure`` (a column to a column)."""
+    return df.where(F.col(first).isNotNull() & F.col(second).isNotNull()).where((measure(F.col(first)) <= most) & (measure(F.col(second)) <= most))
+
+
+def at_positions(df: DataFrame, position: str, chosen: DataFrame, name: str) -> DataFrame:
+    """Rows at the positions listed in column ``name`` of ``chosen``, each once however often it is listed."""
+    return df.join(chosen.select(F.col(name).alias("_chosen")).distinct(), F.col(position) == F.col("_chosen"), "left_semi")
+
+
+def common_keys(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Keys that both tables have."""
+    return first.select(key).distinct().join(second.select(key).distinct(), key, "left_semi")
+
+
+def parallel_texts(first: DataFrame, second: DataFrame, key: str, text: str, names: tuple[str, str] = ("vi", "en")) -> DataFrame:
+    """Texts of two languages side by side, by their common key."""
+    return first.select(key, F.col(text).alias(f"{text}_{names[0]}")).join(second.select(key, F.col(text).alias(f"{text}_{names[1]}")), key)
+
+
+def file_language(path: Column, suffixes: tuple[str, ...] = ("en", "vi"), default: str = "vi") -> Column:
+    """The language of a file by the suffix of its name (``queries_en.json``); ``default`` without one."""
+    found = F.regexp_extract(path, rf"_({'|'.join(suffixes)})(?:\.[A-Za-z0-9]+)*$", 1)
+    return F.when(F.coalesce(found, F.lit("")) != "", found).otherwise(default)
+
+
 def missing_ids(ids: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
     """Ids that the corpus lacks; empty if all references hold."""
     return ids.join(corpus.select(key).distinct(), key, "left_anti")

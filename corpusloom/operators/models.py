@@ -8,7 +8,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StringType, StructField, StructType
 
 from corpusloom.functions.text import split_with_fillers, tokens
 from corpusloom.plans.spreading import spread
@@ -152,3 +152,52 @@ def segment(df: DataFrame, column: str, segmenter=str.split, out: str = "segment
         return text.map(lambda t: None if t is None else " ".join(segmenter(t)))
 
     return df.withColumn(out, udf(column))
+
+
+def hashed_multi_encoder(dimensions: int = 32):
+    """A deterministic encoder of all three kinds: (dense vector, token weights, a vector for each word) of each text."""
+    dense = hashed_encoder(dimensions)
+
+    def encode_texts(texts: list[str]) -> list[tuple]:
+        vectors = dense(texts)
+        found = []
+        for text, vector in zip(texts, vectors):
+            words = (text or "").lower().split()
+            weights: dict[str, float] = {}
+            for w in words:  # the largest weight of a token holds
+                weights[w] = max(weights.get(w, 0.0), 1.0 / (1.0 + len(weights)))
+            found.append((vector, weights, dense(words) if words else np.zeros((0, dimensions), np.float32)))
+        return found
+
+    return encode_texts
+
+
+def encode_all(df: DataFrame, key: str, text: str, encoder, batch: int = 256) -> DataFrame:
+    """``(key, dense, lexical, vectors)``: the dense vector, token weights and word vectors of each text.
+
+    Null texts count as empty.  ``encoder`` maps a list of texts to such triples; it is built once for each task.
+    """
+    source = df.select(key, text)
+    kind = StructType(
+        [source.schema[key], StructField("dense", ArrayType(FloatType())), StructField("lexical", MapType(StringType(), FloatType())), StructField("vectors", ArrayType(ArrayType(FloatType())))]
+    )
+
+    def run(frames):
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                found = encoder([t if isinstance(t, str) else "" for t in part[text]])
+                yield pd.DataFrame({
+                    key: part[key].to_numpy(), "dense": [np.asarray(d, np.float32) for d, _, _ in found], "lexical": [{k: float(v) for k, v in w.items()} for _, w, _ in found],
+                    "vectors": [[np.asarray(v, np.float32) for v in m] for _, _, m in found],
+                })
+
+    return spread(source).mapInPandas(run, kind)
+
+
+def token_strings(weights: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Token ids as their strings: ``weights`` with column ``token_id``, ``vocabulary`` (token_id, token).  Unknown ids are left out;
+    of ids with the same string the largest weight of a key holds."""
+    keys = [c for c in weights.columns if c not in ("token_id", "weight")]
+    named = weights.join(vocabulary.select("token_id", "token").dropDuplicates(["token_id"]), "token_id")
+    return named.groupBy(*keys, "token").agg(F.max("weight").alias("weight"))

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpusloom.functions.text import seeded
+
 
 def draw_order(seed: int, *keys: str) -> Column:
     """A reproducible order that any SQL engine can compute."""
@@ -36,14 +38,14 @@ def mine_negatives(
 def top_up(negatives: DataFrame, queries: DataFrame, corpus: DataFrame, positives: DataFrame, count: int = 15, seed: int = 42, exclude_positives: bool = True) -> DataFrame:
     """Queries with fewer than ``count`` negatives get more from the whole corpus, drawn by hash.
 
-    Candidates of a query are the ``2 * count`` passages that follow a hashed point on the ring of passage hashes, so
-    nothing is crossed: passages and points are bucketed by the leading bits of the ring.
+    Candidates of a query are the passages of the cell of a hashed ring that its own hash falls into, on average
+    ``8 * count`` of them, so nothing is crossed.
     """
     lacking = queries.select("qid").join(negatives.groupBy("qid").agg(F.count("*").alias("_n")), "qid", "left").select("qid", (F.lit(count) - F.coalesce("_n", F.lit(0))).alias("_need")).where("_need > 0")
     size = max(corpus.count(), 1)
     cells = max(1, size // (8 * count))
-    ring = corpus.select("pid", F.pmod(F.xxhash64("pid", F.lit(seed)), F.lit(cells)).alias("_cell"))
-    points = lacking.withColumn("_cell", F.pmod(F.xxhash64("qid", F.lit(seed + 1)), F.lit(cells)))
+    ring = corpus.select("pid", F.floor(seeded(seed, "pid") * cells).alias("_cell"))
+    points = lacking.withColumn("_cell", F.floor(seeded(seed + 1, "qid") * cells))
     drawn = points.join(ring, "_cell").join(negatives.select("qid", "pid"), ["qid", "pid"], "left_anti")
     if exclude_positives:
         drawn = drawn.join(positives.select("qid", "pid"), ["qid", "pid"], "left_anti")
@@ -64,11 +66,11 @@ def margin_negatives(scored: DataFrame, margin: float = 3.0, per_system: int = 3
     """Negatives well below the worst positive, a few of each system.
 
     scored: (qid, pos array<struct<pid, ce_score>>, neg map<system, array<struct<pid, ce_score>>>).  In the order of the
-    systems, each adds up to ``per_system`` passages that score at most min(pos) - margin; one that
+    map, each system adds up to ``per_system`` passages that score at most min(pos) - margin; one that
     an earlier system added does not use up the quota.
     """
     limit = F.array_min(F.transform("pos", lambda p: p["ce_score"])) - margin
-    systems = F.array_sort(F.map_entries("neg"))
+    systems = F.map_entries("neg")
 
     def add(picked: Column, system: Column) -> Column:
         low = F.filter(system["value"], lambda c: (c["ce_score"] <= F.col("_limit")) & ~F.array_contains(picked, c["pid"]))

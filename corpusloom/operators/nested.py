@@ -20,7 +20,10 @@ def _slots(values: Column) -> Column:
 
 
 def dewey_tables(df: DataFrame, key: str, root: str, childless: bool = False) -> dict[str, DataFrame]:
-    """The tables below the list column ``root``, by schema path (``root``, ``root.child``, ...).
+    """The tables of a nested table by schema path: "" for the records, then ``root``, ``root.child``, ...
+
+    The table of the records has ``key`` and their columns that are no lists (of rows with the same key
+    the least by these columns), the others hang on it by ``key``.
 
     Each table has ``key``, ``label`` (ordinals from 1), ``parent`` (the label without its last
     ordinal) and the fields of the node that are no lists; a node that is no struct is in
@@ -28,11 +31,12 @@ def dewey_tables(df: DataFrame, key: str, root: str, childless: bool = False) ->
     With ``childless`` every node without children (and every record without nodes) has one
     row with ordinal 0 and null fields in the table of its children.  Rows with the same key
     are expected to hold the same content and count once; rows with a null key are left out.
-    Further columns of ``df`` are not read, whatever their names.
+    Further columns of ``df`` are only in the table of the records, whatever their names.
     """
     level = df.select(F.col(key).alias("_key"), F.array().cast("array<int>").alias("_label"), F.col(root).alias("_list"))
     level = level.where(F.col("_key").isNotNull())
-    found: dict[str, DataFrame] = {}
+    plain = [f.name for f in df.schema.fields if f.name not in (key, root) and not isinstance(f.dataType, ArrayType)]
+    found: dict[str, DataFrame] = {"": df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*plain)).alias("_row")).select(key, "_row.*") if plain else df.select(key).where(F.col(key).isNotNull()).distinct()}
     _walk(level, df.schema[root].dataType, key, root, childless, found)
     return found
 

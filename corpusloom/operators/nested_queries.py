@@ -42,8 +42,14 @@ _LINKS = (
     doc AS (SELECT item_id, q, d, node.rel_docs[d] AS link FROM doc_slot WHERE node.rel_docs[d] IS NOT NULL)"""
 )
 
-QUERIES = {"p6_found": p6_found, "p6_questions": p6_questions, "p6_links": p6_links}
+def p6_pages(spark, folder: str) -> DataFrame:
+    """The pages themselves, which questions and links hang on."""
+    return _tables(spark, folder)[""].select("item_id", "url", F.date_format("crawled_at", "yyyy-MM-dd HH:mm:ss").alias("crawled_at"))
+
+
+QUERIES = {"p6_pages": p6_pages, "p6_found": p6_found, "p6_questions": p6_questions, "p6_links": p6_links}
 ORACLES = {
+    "p6_pages": "SELECT item_id, any_value(url) AS url, strftime(min(crawled_at), '%Y-%m-%d %H:%M:%S') AS crawled_at FROM qa_items WHERE item_id IS NOT NULL GROUP BY item_id",
     "p6_found": _LINKS
     + """ SELECT item_id, q::INT AS qa_no, d::INT AS doc_no FROM doc
     UNION ALL SELECT item_id, q::INT, 0 FROM question

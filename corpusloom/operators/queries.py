@@ -317,7 +317,7 @@ _EDGES = "e AS (SELECT DISTINCT doc_id AS src, least AS dst FROM (SELECT doc_id,
 
 @query(f"WITH {_signatures_sql()}, {_EDGES} SELECT src, dst FROM e")
 def lsh_candidates(spark, folder):
-    return dedup.lsh_edges(stage(_signatures(spark, folder)), "doc_id")
+    return dedup.lsh_edges(stage(hashing.band_keys(_documents(spark, folder), "doc_id", "text", BANDS, ROWS)).where("band >= 0"), "doc_id")
 
 
 _COMPONENTS = """linked AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
@@ -385,11 +385,18 @@ def dense_topk(spark, folder):
     return _dense(spark, folder).select("qid", "pid", F.round("score", 6).alias("score"), "rank")
 
 
-def _same_label(spark, folder) -> tuple[DataFrame, DataFrame]:
+def _labelled(spark, folder, found: DataFrame) -> DataFrame:
+    """``found`` with ``hit``: whether passage and query have the same label."""
+    labels = table(spark, folder, "embeddings").select("vec_id", "label")
+    asked = labels.select(F.col("vec_id").alias("qid"), F.col("label").alias("_l"))
+    return found.join(asked, "qid").join(labels.withColumnRenamed("vec_id", "pid"), "pid").withColumn("hit", F.col("_l") == F.col("label")).drop("_l", "label")
+
+
+def _same_label(spark, folder) -> DataFrame:
+    """How many other vectors have the label of each query; the pairs themselves are never made."""
     vectors = table(spark, folder, "embeddings").select("vec_id", "label")
-    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("_l"))
-    qrels = asked.join(vectors, F.col("_l") == F.col("label")).where("qid <> vec_id").select("qid", F.col("vec_id").alias("pid"))
-    return asked.select("qid"), qrels
+    sizes = vectors.groupBy("label").agg((F.count("*") - 1).alias("relevant"))
+    return vectors.where("vec_id % 100 = 0").join(sizes, "label").select(F.col("vec_id").alias("qid"), "relevant")
 
 
 def _metrics_sql() -> str:
@@ -419,8 +426,7 @@ def _metrics_sql() -> str:
 
 @query(_metrics_sql())
 def dense_metrics(spark, folder):
-    asked, qrels = _same_label(spark, folder)
-    found = metrics.evaluate(_dense(spark, folder), qrels, asked)
+    found = metrics.evaluate_marked(_labelled(spark, folder, _dense(spark, folder)), _same_label(spark, folder))
     return found.select("metric", "k", F.round("value", 6).alias("value"))
 
 
@@ -511,14 +517,17 @@ def chunk_collapse(spark, folder):
     SELECT qid, pid, (row_number() OVER (PARTITION BY qid ORDER BY md5(qid || ':' || pid || ':42')))::INT AS place FROM pool QUALIFY place <= 15"""
 )
 def hard_negatives(spark, folder):
-    return negatives.mine_negatives(_dense(spark, folder), _same_label(spark, folder)[1], 2, 60, 15)
+    near = stage(_labelled(spark, folder, _dense(spark, folder)))
+    return negatives.mine_negatives(near.drop("hit"), near.where("hit").select("qid", "pid"), 2, 60, 15)
 
 
-@query("SELECT 0::BIGINT AS leaking")
+@query(f"WITH {_UNIT}, {_RANKED} SELECT count(*) AS leaking FROM top JOIN u a ON a.vec_id = qid JOIN u b ON b.vec_id = pid WHERE rank > 2 AND rank <= 17 AND a.label = b.label")
 def negative_audit(spark, folder):
-    positives = _same_label(spark, folder)[1]
-    mined = negatives.mine_negatives(_dense(spark, folder), positives, 2, 60, 15)
-    return mined.join(positives, ["qid", "pid"], "left_semi").agg(F.count("*").alias("leaking"))
+    """How many of the negatives taken by rank alone are positives of their query."""
+    near = stage(_labelled(spark, folder, _dense(spark, folder)))
+    taken = near.where("rank > 2 AND rank <= 17").select("qid", "pid")
+    leaking = negatives.leaking_negatives(taken, near.where("hit").select("qid", "pid"))
+    return spark.createDataFrame([(leaking,)], "leaking long")
 
 
 @query(
@@ -526,7 +535,7 @@ def negative_audit(spark, folder):
     z AS (SELECT sample_id, neg, neg_scores, lim, unnest(range(1, greatest(coalesce(len(neg), 0), 1) + 1)) AS i FROM t)
     SELECT sample_id, sum(CASE WHEN neg[i] IS NOT NULL AND neg_scores[i] <= lim THEN 1 ELSE 0 END)::BIGINT AS kept FROM z GROUP BY sample_id"""
 )
-def margin_negatives(spark, folder):
+def margin_kept(spark, folder):
     rows = table(spark, folder, "train_data_minedhn").dropDuplicates(["sample_id"])
     kept = negatives.margin_filter(rows, F.lit(0.1).cast("float"))
     return kept.select("sample_id", F.size("neg_kept").cast("long").alias("kept"))

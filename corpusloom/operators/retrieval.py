@@ -1,17 +1,23 @@
 """Retrieval: exact nearest neighbours, BM25+, rank fusion, reranking and chunk collapse."""
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusloom.functions import text as T
 from corpusloom.plans.spreading import spread
+from corpusloom.plans.staging import stage
 
 #: Numbers in one broadcast block of query vectors.
 BLOCK_NUMBERS = 16_000_000
+#: Scores a task holds at once: the passages of a step times the queries of a block.
+SCORES = 8_000_000
 
 
 def ranked(scores: DataFrame, query: str = "qid", passage: str = "pid", score: str = "score", rank: str = "rank") -> DataFrame:
@@ -49,38 +55,64 @@ def knn_join(
 
         def run(batches, shared=shared):
             ids, matrix = shared.value
-            own_ids = ids.to_pylist() if skip_self else None
-            best_score = np.full((len(ids), 0), 0.0)
-            best_id: list = []
-            held = None
+            own = ids.to_pylist() if skip_self else None
+            at_own = {v: i for i, v in enumerate(own)} if skip_self else {}
+            best = np.full((len(ids), 0), 0.0)
+            held = np.zeros((len(ids), 0), np.int64)  # rows of this task, numbered through
+            names, type_, seen = [], None, 0
+            rows_at_once = max(64, min(4096, SCORES // max(len(ids), 1)))
             for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    piece = batch.slice(at, 4096)
-                    scores = matrix @ _matrix(piece.column(1), metric).T if len(ids) else np.zeros((0, piece.num_rows))
-                    pids = np.array(piece.column(0).to_pylist(), dtype=object)
+                type_ = batch.schema.field(0).type
+                for at in range(0, batch.num_rows if len(ids) else 0, rows_at_once):
+                    piece = batch.slice(at, rows_at_once)
+                    # in order of ids within the piece, so that of equal scores the least id is found first
+                    order = pa.compute.sort_indices(piece.column(0))
+                    piece = piece.take(order)
+                    scores = matrix @ _matrix(piece.column(1), metric).T
                     if skip_self:
-                        scores[np.array(own_ids, dtype=object)[:, None] == pids[None, :]] = -np.inf
-                    both = np.concatenate([best_score, scores], axis=1)
-                    all_ids = np.concatenate([held, np.broadcast_to(pids, scores.shape)], axis=1) if held is not None else np.broadcast_to(pids, scores.shape)
-                    keep = min(k, both.shape[1])
-                    # ties by id: sort by id first, then stably by falling score
-                    by_id = np.argsort(all_ids, axis=1, kind="stable")
-                    both, all_ids = np.take_along_axis(both, by_id, 1), np.take_along_axis(all_ids, by_id, 1)
-                    order = np.argsort(-both, axis=1, kind="stable")[:, :keep]
-                    best_score, held = np.take_along_axis(both, order, 1), np.take_along_axis(all_ids, order, 1)
-            del best_id
-            if held is not None and len(ids):
-                row, column = np.nonzero(np.isfinite(best_score))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row)), pa.array(held[row, column].tolist(), type=piece.schema.field(0).type), pa.array(best_score[row, column])],
-                    ["qid", "pid", "score"],
-                )
+                        for j, v in enumerate(piece.column(0).to_pylist()):
+                            if v in at_own:
+                                scores[at_own[v], j] = -np.inf
+                    names.append(piece.column(0))
+                    both = np.concatenate([best, scores], axis=1)
+                    numbers = np.concatenate([held, np.broadcast_to(np.arange(seen, seen + piece.num_rows), scores.shape)], axis=1)
+                    seen += piece.num_rows
+                    best, held = _keep_best(both, numbers, names, k)
+                    names, held = _compacted(names, held)
+                    seen = sum(map(len, names))
+            if held.shape[1]:
+                row, column = np.nonzero(np.isfinite(best))
+                pids = pa.concat_arrays([n.combine_chunks() if isinstance(n, pa.ChunkedArray) else n for n in names]).take(pa.array(held[row, column])).cast(type_)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pids, pa.array(best[row, column])], ["qid", "pid", "score"])
 
         local = rows.mapInArrow(run, kind)
         found = local if found is None else found.union(local)
     return top_k(found, k)
 
 
+def _keep_best(scores: np.ndarray, numbers: np.ndarray, names: list, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best columns of each row, and all that tie with the last of them if that is more than k."""
+    if scores.shape[1] <= k:
+        return scores, numbers
+    edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    tied = (scores >= edge).sum(axis=1)
+    width = min(int(tied.max(initial=k)), scores.shape[1])
+    if width > k:  # ties at the edge: the least ids stay
+        ids = pa.concat_arrays(names).to_pylist()
+        for r in np.nonzero(tied > k)[0]:
+            at = np.nonzero(scores[r] == edge[r])[0]
+            drop = sorted(at, key=lambda c: ids[numbers[r, c]])[k - int((scores[r] > edge[r]).sum()) :]
+            scores[r, drop] = -np.inf
+    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(scores, best, 1), np.take_along_axis(numbers, best, 1)
+
+
+def _compacted(names: list, held: np.ndarray) -> tuple[list, np.ndarray]:
+    """Only the ids that are still among the best of a query, renumbered."""
+    used, at = np.unique(held, return_inverse=True)
+    return [pa.concat_arrays(names).take(pa.array(used))], at.reshape(held.shape)
+
+
 def _matrix(column, metric: str) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False)
     matrix = values.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
@@ -104,36 +136,65 @@ def document_frequencies(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def corpus_size(docs: DataFrame, terms: Column) -> tuple[int, float]:
-    """Number of documents and their mean length in terms, empty documents included."""
-    n, mean = docs.select(F.size(terms).alias("dl")).where("dl >= 0").agg(F.count("*"), F.avg("dl")).first()
-    return n or 0, mean or 0.0
+@dataclass(frozen=True)
+class Bm25Index:
+    """Postings with document frequencies, the number of documents and their mean length in terms."""
 
+    postings: DataFrame  # pid, term, tf, dl, df
+    documents: int
+    mean: float
 
-def bm25(
-    queries: DataFrame, query_id: str, query_terms: Column, docs: DataFrame, doc_id: str, doc_terms: Column, k1: float = 0.6, b: float = 0.9, delta: float = 1.0, k: int | None = 100,
-) -> DataFrame:
+
+def build_bm25(docs: DataFrame, doc_id: str, doc_terms: Column, path: str | None = None) -> Bm25Index:
+    """An index of ``docs``, written to ``path`` (or the shared folder), so that the corpus is split into terms once.
+
+    Empty documents count for the mean length; null texts and ids are left out.
+    """
+    spark = docs.sparkSession
+    terms = stage(spread(docs).select(F.col(doc_id).alias("pid"), doc_terms.alias("_terms")).where("pid IS NOT NULL AND _terms IS NOT NULL"))
+    n, mean = terms.agg(F.count("*"), F.avg(F.size("_terms"))).first()
+    posts = terms.select("pid", F.size("_terms").alias("dl"), F.explode("_terms").alias("term")).groupBy("pid", "term", "dl").agg(F.count("*").alias("tf"))
+    posts = stage(posts)
+    held = posts.join(document_frequencies(posts), "term").select("pid", "term", "tf", "dl", "df")
+    if path is None:
+        return Bm25Index(held, n or 0, mean or 0.0)
+    held.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    spark.createDataFrame([(n or 0, mean or 0.0)], "documents long, mean double").coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+    return load_bm25(spark, path)
+
+
+def load_bm25(spark, path: str) -> Bm25Index:
+    """An index that ``build_bm25`` has written."""
+    n, mean = spark.read.parquet(f"{path}/statistics").first()
+    return Bm25Index(spark.read.parquet(f"{path}/postings"), n, mean)
+
+
+def search_bm25(index: Bm25Index, queries: DataFrame, query_id: str, query_terms: Column, k1: float = 0.6, b: float = 0.9, delta: float = 1.0, k: int | None = 100) -> DataFrame:
     """``(qid, pid, score, rank)`` by BM25+ for documents that share a term with the query.
 
     Every document has the constant ``sum(idf * delta)`` over the query's terms, so documents without a common
     term follow, all with that score, and are not listed.  Repeated query terms count repeatedly.
     """
-    n, mean = corpus_size(docs, doc_terms)
-    posts = postings(docs, doc_id, doc_terms)
     asked = (
         queries.select(F.col(query_id).alias("qid"), F.explode(query_terms).alias("term")).where("qid IS NOT NULL").groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     )
-    wanted = asked.select("term").distinct()
-    held = posts.join(wanted, "term", "left_semi")
-    idf = document_frequencies(held).select("term", F.log((F.lit(n) + 1) / F.col("df")).alias("idf"))
+    held = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    idf = held.select("term", "df").distinct().select("term", F.log((F.lit(index.documents) + 1) / F.col("df")).alias("idf"))
     weighted = asked.join(idf, "term")
     constant = weighted.groupBy("qid").agg(F.sum(F.col("qtf") * F.col("idf") * delta).alias("_constant"))
-    part = F.col("tf") * (k1 + 1) / (k1 * (1 - b + b * F.col("dl") / mean) + F.col("tf"))
+    part = F.col("tf") * (k1 + 1) / (k1 * (1 - b + b * F.col("dl") / index.mean) + F.col("tf"))
     scored = weighted.join(held, "term").groupBy("qid", "pid").agg(F.sum(F.col("qtf") * F.col("idf") * part).alias("_part"))
     scores = scored.join(constant, "qid").select("qid", "pid", (F.col("_part") + F.col("_constant")).alias("score"))
     return top_k(scores, k) if k else ranked(scores)
 
 
+def bm25(
+    queries: DataFrame, query_id: str, query_terms: Column, docs: DataFrame, doc_id: str, doc_terms: Column, k1: float = 0.6, b: float = 0.9, delta: float = 1.0, k: int | None = 100,
+) -> DataFrame:
+    """``search_bm25`` over an index made for this call."""
+    return search_bm25(build_bm25(docs, doc_id, doc_terms), queries, query_id, query_terms, k1, b, delta, k)
+
+
 # -- fusion and reranking --------------------------------------------------------------------------
 
 
@@ -183,6 +244,18 @@ def max_sim(pairs: DataFrame, query_vectors: str, passage_vectors: str, out: str
     return pairs.withColumn(out, score(query_vectors, passage_vectors))
 
 
+def pair_scores(pairs: DataFrame, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """All scores of pairs of encoded texts: columns dense, sparse, colbert and their weighted means.
+
+    pairs: (qid, pid, q_dense, p_dense array<float>, q_lexical, p_lexical map<string, float>, q_vectors, p_vectors
+    array<array<float>>), as ``models.encode_all`` makes them.
+    """
+    dense = F.aggregate(F.zip_with("q_dense", "p_dense", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    shared = F.transform(F.map_keys("q_lexical"), lambda t: F.col("q_lexical")[t].cast("double") * F.coalesce(F.try_element_at("p_lexical", t), F.lit(0.0)))
+    scored = pairs.withColumns({"dense": F.coalesce(dense, F.lit(0.0)), "sparse": F.coalesce(F.aggregate(shared, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))})
+    return mixed_scores(max_sim(scored, "q_vectors", "p_vectors", "colbert"), weights)
+
+
 def mixed_scores(pairs: DataFrame, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """Weighted means of the columns dense, sparse and colbert: all three, and dense with sparse."""
     w1, w2, w3 = weights

@@ -4,11 +4,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.text import seeded
+from corpusloom.operators.etl import row_index
 
 # Rows per batch by length bucket, for groups of eight texts.
 BATCH_ROWS = {"0-500": 48, "500-1000": 32, "1000-2000": 20, "2000-3000": 18, "3000-4000": 14, "4000-5000": 14, "5000-6000": 12, "6000-7000": 10, "7000-inf": 8}
 
 
+def _draw(key: str, place: Column, seed: int) -> Column:
+    """A hash by which entries of a list are drawn."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), place.cast("string"), F.lit(str(seed))))
+
+
 def longest_text(texts: list[Column], measure) -> Column:
     """The largest ``measure`` over texts and arrays of texts (nulls count 0); measure maps a column to a column."""
     return F.array_max(F.transform(F.concat(*texts), lambda t: F.coalesce(measure(t), F.lit(0))))
@@ -27,7 +33,7 @@ def bucket_summary(df: DataFrame, bucket: str, length: str) -> DataFrame:
 
 
 def batch_rows(bucket: Column, default: int, table: dict[str, int] | None = None) -> Column:
-    """Rows per batch of a bucket, ``default`` for others."""
+    """Rows per batch of a bucket, ``default`` for others; ``table`` is for groups of another size or other devices."""
     entries = [F.lit(x) for p in (table or BATCH_ROWS).items() for x in p]
     return F.coalesce(F.try_element_at(F.create_map(*entries), bucket), F.lit(default))
 
@@ -38,13 +44,13 @@ def merge_small(df: DataFrame, file: str, small: int, drop: int) -> DataFrame:
     named = counts.select(file, F.when(F.col("_n") < small, "merged").otherwise(F.col(file)).alias("dataset"), "_n")
     size = named.groupBy("dataset").agg(F.sum("_n").alias("_size"))
     kept = named.join(size, "dataset").where((F.col("dataset") != "merged") | (F.col("_size") >= drop)).select(file, "dataset")
-    return df.join(F.broadcast(kept), file)
+    return df.join(kept, file)
 
 
 def cap_rows(df: DataFrame, group: str, key: str, most: int, seed: int) -> DataFrame:
     """At most ``most`` rows of each group, drawn by hash; by a range of hash values first, so hot groups are thinned before the window."""
     counts = df.groupBy(group).agg(F.count("*").alias("_n"))
-    drawn = df.join(F.broadcast(counts), group).withColumn("_h", seeded(seed, key)).where(F.col("_h") <= 2.0 * most / F.col("_n") + 64.0 / F.col("_n"))
+    drawn = df.join(counts, group).withColumn("_h", seeded(seed, key)).where(F.col("_h") <= 2.0 * most / F.col("_n") + 64.0 / F.col("_n"))
     window = Window.partitionBy(group).orderBy("_h", key)
     return drawn.withColumn("_at", F.row_number().over(window)).where(F.col("_at") <= most).drop("_h", "_at", "_n")
 
@@ -62,12 +68,12 @@ def epoch_plan(df: DataFrame, dataset: str, key: str, rows: Column, processes: i
     offsets = counts.select(dataset, "_cell", (F.sum("_n").over(Window.partitionBy(dataset).orderBy("_cell")) - F.col("_n")).alias("_offset"), F.sum("_n").over(Window.partitionBy(dataset)).alias("_total"))
     size = (rows * processes).cast("long")
     inner = F.row_number().over(Window.partitionBy(dataset, "_cell").orderBy("_h", key)) - 1
-    placed = turned.withColumn("_inner", inner).join(F.broadcast(offsets), [dataset, "_cell"]).withColumn("_at", F.col("_inner") + F.col("_offset")).withColumn("_size", size)
+    placed = turned.withColumn("_inner", inner).join(offsets, [dataset, "_cell"]).withColumn("_at", F.col("_inner") + F.col("_offset")).withColumn("_size", size)
     step = F.floor(F.col("_at") / F.col("_size"))
     full = F.least(F.col("_size"), F.col("_total") - step * F.col("_size"))
     kept = placed.withColumn("_step", step).withColumn("_rows", full).where((F.col("_rows") == F.col("_size")) | (F.col("_rows") >= 2 * processes))
-    steps = kept.select(dataset, "_step").distinct().withColumn("batch", F.row_number().over(Window.orderBy(seeded(seed + 7 + epoch, dataset, "_step"), dataset, "_step")) - 1)
-    out = kept.join(F.broadcast(steps), [dataset, "_step"]).withColumn("place", (F.col("_at") - F.col("_step") * F.col("_size")).cast("int"))
+    steps = row_index(kept.select(dataset, "_step").distinct().withColumn("_draw", seeded(seed + 7 + epoch, dataset, "_step")), ["_draw", dataset, "_step"], "batch").drop("_draw")
+    out = kept.join(steps, [dataset, "_step"]).withColumn("place", (F.col("_at") - F.col("_step") * F.col("_size")).cast("int"))
     return out.drop("_h", "_cell", "_inner", "_offset", "_total", "_at", "_size", "_step").withColumnRenamed("_rows", "batch_rows")
 
 
@@ -92,7 +98,7 @@ def sampled_group(df: DataFrame, key: str, size: int, seed: int, positives: str
     scored = F.flatten(F.array_repeat(F.coalesce(negative_scores, F.array().cast("array<float>")), F.greatest(times, F.lit(1)))) if negative_scores else None
     tagged = F.transform(
         repeated,
-        lambda t, i: F.struct(F.xxhash64(F.col(key), i, F.lit(seed)).alias("h"), t.alias("t"), (F.get(scored, i) if scored is not None else F.lit(0.0)).cast("double").alias("s")),
+        lambda t, i: F.struct(_draw(key, i, seed).alias("h"), t.alias("t"), (F.get(scored, i) if scored is not None else F.lit(0.0)).cast("double").alias("s")),
     )
     drawn = F.slice(F.array_sort(tagged), 1, need)
     if negative_scores:
@@ -116,7 +122,7 @@ def picked_language(key: str, seed: int, first: str = "text_vi", second: str = "
 def chosen_pair(title: str, lead: str, body: str, key: str, seed: int) -> tuple[Column, Column]:
     """Query and passage of a news item: without lead (title, body), without body (title, lead), else one of three by hash."""
     no_lead, no_body = F.coalesce(F.trim(lead), F.lit("")) == "", F.coalesce(F.trim(body), F.lit("")) == ""
-    draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(3))
+    draw = F.floor(seeded(seed, key) * 3)
     query = F.when(no_lead | no_body, F.col(title)).when(draw == 2, F.col(lead)).otherwise(F.col(title))
     passage = F.when(no_lead, F.col(body)).when(no_body, F.col(lead)).when(draw == 0, F.col(lead)).otherwise(F.col(body))
     return query, passage
@@ -125,5 +131,5 @@ def chosen_pair(title: str, lead: str, body: str, key: str, seed: int) -> tuple[
 def chunk_pair(df: DataFrame, chunks: str, key: str, measure, least: int = 64, seed: int = 0) -> DataFrame:
     """Two different chunks of ``least`` or more by ``measure``, drawn by hash, as ``query`` and ``passage``; rows without two give none."""
     fit = F.filter(chunks, lambda c: measure(c) >= least)
-    drawn = F.array_sort(F.transform(fit, lambda c, i: F.struct(F.xxhash64(F.col(key), i, F.lit(seed)).alias("h"), c.alias("c"))))
+    drawn = F.array_sort(F.transform(fit, lambda c, i: F.struct(_draw(key, i, seed).alias("h"), c.alias("c"))))
     return df.withColumn("_drawn", drawn).where(F.size("_drawn") >= 2).withColumns({"query": F.col("_drawn")[0]["c"], "passage": F.col("_drawn")[1]["c"]}).drop("_drawn")

@@ -61,7 +61,12 @@ def qrels_of_map(df: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_arrow(spark: SparkSession, pattern: str, schema) -> DataFrame:
-    """Arrow IPC files or streams by glob; files are read whole, each by one task."""
+    """Arrow IPC files or streams by glob, as the shards of a data set are; a shard is read whole, each by one task."""
+    return arrow_rows(spark.read.format("binaryFile").load(pattern).select("content"), schema)
+
+
+def arrow_rows(files: DataFrame, schema) -> DataFrame:
+    """The rows of Arrow IPC files or streams that are the values of a binary column."""
 
     def rows(batches):
         for batch in batches:
@@ -74,9 +79,9 @@ def read_arrow(spark: SparkSession, pattern: str, schema) -> DataFrame:
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
+    schema = schema if isinstance(schema, StructType) else files.sparkSession.createDataFrame([], schema).schema
     names, target = schema.fieldNames(), to_arrow_schema(schema)
-    return spark.read.format("binaryFile").load(pattern).select("content").mapInArrow(rows, schema)
+    return files.mapInArrow(rows, schema)
 
 
 def read_npy(spark: SparkSession, pattern: str) -> DataFrame:
@@ -96,6 +101,9 @@ def read_npy(spark: SparkSession, pattern: str) -> DataFrame:
 
 def read_folder(spark: SparkSession, path: str, schema=SCORED_SAMPLE, parallel_mark: str = "parallel_") -> DataFrame:
     """All .json and .jsonl files of a folder with their ``file`` and whether its path marks a parallel corpus."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isDirectory(target):
+        raise NotADirectoryError(path)
     rows = spark.read.schema(schema).option("pathGlobFilter", "*.{json,jsonl}").json(path)
     file = F.col("_metadata.file_path")
     return rows.select("*", F.element_at(F.split(file, "/"), -1).alias("file"), file.contains(parallel_mark).alias("parallel"))

@@ -39,11 +39,15 @@ def append_scores(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("append").option("header", True).csv(path)
 
 
+def exists(spark, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def remaining(df: DataFrame, path: str, key: str) -> DataFrame:
     """Rows whose key has not been written to the Parquet folder yet, for resuming."""
     spark = df.sparkSession
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+    if not exists(spark, path):
         return df
     return df.join(spark.read.parquet(path).select(key), key, "left_anti")
 

@@ -114,8 +114,34 @@ def test_near_dedup_modes(spark):
         assert labels[0] == labels[1] == labels[2] == 0 and labels[3] == 3, mode
     named = dedup.near_dedup(df.withColumn("__cluster__", F.lit(1)), "k", "t", 0.5)
     assert "__cluster__1" in named.columns
-    small = dedup.verify_previous(df, "k", "t", clusters, 0.7, largest=1)
-    assert dict(small.collect())[2] == 0
+    same = clusters.withColumn("cluster", F.lit(0))
+    assert dict(dedup.verify_previous(df, "k", "t", same, 0.7).select("k", "cluster").collect())[2] == 0
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.52, 0.8])
+def test_verification_against_all_pairs(spark, threshold):
+    rng = random.Random(5)
+    pool = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(90):
+        w = list(rows[rng.randrange(i)][1].split()) if i and rng.random() < 0.6 else [rng.choice(pool) for _ in range(12)]
+        if w and rng.random() < 0.8:
+            w[rng.randrange(len(w))] = rng.choice(pool)
+        rows.append((i, " ".join(w)))
+    rows.append((90, ""))
+    df = spark.createDataFrame(rows, "k int, t string")
+    clusters = spark.createDataFrame([(i, i % 2) for i, _ in rows], "k int, cluster int")
+    sets = {r.k: set(r.w) for r in df.select("k", T.numbered_words(F.col("t")).alias("w")).collect()}
+    alike = lambda a, b: len(sets[a] & sets[b]) > 0 and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > threshold
+    previous, full = {}, {i: i for i in sets}
+    for i in sets:
+        previous[i] = next((previous[j] for j in range(i) if j % 2 == i % 2 and alike(i, j)), i)
+        for j in range(i):
+            if j % 2 == i % 2 and alike(i, j) and full[i] != full[j]:
+                a, b = sorted((full[i], full[j]))
+                full = {k: a if v == b else v for k, v in full.items()}
+    assert dict(dedup.verify_previous(df, "k", "t", clusters, threshold).select("k", "cluster").collect()) == previous
+    assert dict(dedup.verify_full(df, "k", "t", clusters, threshold).select("k", "cluster").collect()) == full
 
 
 def test_knn_matches_brute_force(spark):
