@@ -15,6 +15,7 @@ that of its heaviest sentence.
 """
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 
@@ -129,6 +130,10 @@ def fold(token: str) -> str:
     return token if token.isascii() else unicodedata.normalize("NFD", token).translate(_MARKS).replace("đ", "d")
 
 
+#: Tags that only help: every rule needs another one, so a clause without one has no accepted path.
+HELPERS = frozenset("YOU ME THEY PEOPLE IS WILL MUST HOPE HEAD BODY HOLE MOUTH LIVE like NOT SAID LAW HEALTH FARM".split())
+
+
 class Lexicon:
     """The transducer from words, in any spelling, to tags: ``arcs(tokens)`` gives (tag, end, weight) by place."""
 
@@ -153,6 +158,17 @@ class Lexicon:
             self.by_length.setdefault(len(w), []).append(w)
             self.squeezed.setdefault(_DOUBLE.sub(r"\1", w), []).append(w)
         self.read: dict[str, tuple[str, ...]] = {}
+        self.begins = {phrase.replace("'", "").split(" ")[0] for tag, text in lexicon.items() if tag not in HELPERS for phrase in re.sub(r"(?<![^|])[\d.]+ ", "", text).split("|")}
+        self.tells: dict[str, bool] = {}
+
+    def may_tell(self, token: str) -> bool:
+        """Whether a phrase with a telling tag may begin with the token."""
+        known = self.tells.get(token)
+        if known is None:
+            if len(self.tells) > 500_000:
+                self.tells.clear()
+            known = self.tells[token] = any(w in self.begins for w in self.readings(token))
+        return known
 
     def readings(self, token: str) -> tuple[str, ...]:
         """The words of the lexicon that a token may stand for; accents that it has must be those of the word."""
@@ -207,7 +223,6 @@ class Grammar:
         self.final: dict[int, list[tuple[str, float, bool]]] = {}
         for kind, weight, pattern in rules:
             self._add(kind, weight, pattern.split())
-        self.starts = set(self.arcs[0]) | set(self.arcs[1])
 
     def _new(self) -> int:
         self.arcs.append({})
@@ -255,14 +270,18 @@ class Grammar:
         for i in range(first, size):
             here = arcs.get(i, ())
             begins = [(0, (0.0, i))] + ([(1, (0.0, i))] if i == 0 else [])
+            cost, free = denied.get(i, 0.0), i not in blocked
             for state, (weight, begin) in [*states[i].items(), *(begins if here or i == 0 else ())]:
-                for tag, end, more in here:
-                    for s in self.arcs[state].get(tag, ()):
-                        put(end, s, weight + more, begin)
-                if i not in blocked:
+                table = self.arcs[state]
+                if table and here:
+                    for tag, end, more in here:
+                        if tag in table:
+                            for s in table[tag]:
+                                put(end, s, weight + more, begin)
+                if free:
                     for s in self.any[state]:
-                        put(i + 1, s, weight - denied.get(i, 0.0), begin)
-            if i + 1 <= size:
+                        put(i + 1, s, weight - cost, begin)
+            if states[i + 1]:
                 self._accept(states[i + 1], i + 1 == size, found)
         return found
 
@@ -274,6 +293,8 @@ class Grammar:
 
 
 WORDS, GRAMMAR = Lexicon(LEXICON), Grammar(RULES)
+if any(all(p[-1] in "?*" or p[0] in "^$~" or HELPERS & set(p.rstrip("+").split("|")) for p in pattern.split()) for _, _, pattern in RULES):
+    raise ValueError("a rule of helping tags only")
 
 
 def sentences(text: str) -> list[list[list[str]]]:
@@ -304,8 +325,11 @@ def sentences(text: str) -> list[list[list[str]]]:
 def sentence_score(clauses: list[list[str]]) -> dict[str, float]:
     """The weight of each kind of content in a sentence."""
     total: dict[str, float] = {}
+    if not any(map(WORDS.may_tell, itertools.chain.from_iterable(clauses))):
+        return total
     lattices = [WORDS.arcs(c) for c in clauses]
-    if not any(tag in GRAMMAR.starts for arcs in lattices for some in arcs.values() for tag, _, _ in some):
+    telling = [any(tag not in HELPERS for some in arcs.values() for tag, _, _ in some) for arcs in lattices]
+    if not any(telling):
         return total
     around = dict.fromkeys(("LAW", "HEALTH", "FARM"), 0.0)
     for arcs in lattices:
@@ -313,10 +337,10 @@ def sentence_score(clauses: list[list[str]]) -> dict[str, float]:
             if tag in around:
                 around[tag] = max(around[tag], weight)
     place, said = 0, None  # words so far, and where speech was last reported
-    for clause, arcs in zip(clauses, lattices):
+    for clause, arcs, tells in zip(clauses, lattices, telling):
         marks = {tag: [(i, end, w) for i, some in arcs.items() for t, end, w in some if t == tag] for tag in REACH}
         best: dict[str, float] = {}
-        if arcs:
+        if tells:
             blocked = {i for i, t in enumerate(clause) if t == "▪"}
             denied = {i: w for i, _, w in marks["NOT"]}
             for kind, weight, begin in GRAMMAR.clause(len(clause), arcs, blocked, denied):
