@@ -191,8 +191,28 @@ _SENTENCE = re.compile(r"(?<=[.!?…])[\"”’)\]]*\s+(?=[\"“‘(\[]?[\w\d])"
 _PARTS = StructType([StructField("sentences", ArrayType(StringType())), StructField("fillers", ArrayType(StringType()))])
 
 
-def split_with_fillers(text: str) -> tuple[list[str], list[str]]:
-    """Sentences and what stands before, between and after them; joined alternately they give the text."""
+def align_fillers(text: str, sentences: list[str], ignore_errors: bool = False) -> list[str]:
+    """What stands before, between and after the sentences that some splitter has found in a text.
+
+    A sentence that is not in the rest of the text is an error, or with ``ignore_errors`` is taken to begin one
+    character on.
+    """
+    fillers, at = [], 0
+    for sentence in sentences:
+        begin = text.find(sentence, at)
+        if begin < 0:
+            if not ignore_errors:
+                raise ValueError(f"no such sentence behind place {at}: {sentence!r}")
+            begin = at + 1
+        fillers.append(text[at:begin])
+        at = begin + len(sentence)
+    return [*fillers, text[at:]]
+
+
+def split_with_fillers(text: str, collapsed: bool = False) -> tuple[list[str], list[str]]:
+    """Sentences and what stands before, between and after them; joined alternately they give the text, with runs of
+    blanks and dots as one first if ``collapsed``."""
+    text = re.sub(r"\.+", ".", re.sub(" +", " ", text)) if collapsed else text
     sentences, fillers, at = [], [], 0
     for m in [*_SENTENCE.finditer(text), None]:
         end = m.start() if m else len(text)

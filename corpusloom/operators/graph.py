@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.plans.staging import stage
+from corpusloom.plans.staging import discard, stage
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     )
     mark = None
     for _ in range(max_rounds):
-        state = stage(_star(_star(state, large=True), large=False))
+        before, state = state, stage(_star(_star(state, large=True), large=False))
+        discard(before)  # the rounds leave one table each at a time
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break

@@ -64,19 +64,24 @@ def _plain(text: str) -> str:
 
 
 def qa_pairs(html: str | None) -> list[dict]:
-    """Each h2 with the links of the paragraphs that follow it, up to the next h2 among its siblings."""
-    found = []
-    for heading in parse(html or "").find_all("h2"):
-        siblings, links = heading.parent.children, []
-        for node in siblings[siblings.index(heading) + 1 :]:
-            if isinstance(node, str):
-                continue
-            if node.tag == "h2":
-                break
-            if node.tag == "p":
-                links += [{"title": _plain(a.text()), "href": a.attributes.get("href")} for a in node.find_all("a")]
-        found.append({"question": _plain(heading.text()), "rel_docs": links})
-    return found
+    """Each h2 with the links of the paragraphs that follow it among its siblings, without those that later headings claim.
+
+    The links behind a heading include those behind the headings after it, so from the last heading on each keeps
+    as many fewer, from the end of its list, as the later ones have kept.  Links lose the parameter behind ``&mode``.
+    """
+    found, claimed = [], 0
+    for heading in reversed(list(parse(html or "").find_all("h2"))):
+        siblings = heading.parent.children
+        behind = [n for n in siblings[siblings.index(heading) + 1 :] if not isinstance(n, str) and n.tag == "p"]
+        links = [{"title": _plain(a.text()), "href": _without_mode(a.attributes.get("href"))} for p in behind for a in p.find_all("a")]
+        kept = links[: max(len(links) - claimed, 0)]
+        claimed += len(kept)
+        found.append({"question": _plain(heading.text()), "rel_docs": kept})
+    return found[::-1]
+
+
+def _without_mode(href: str | None) -> str | None:
+    return None if href is None else href.partition("&mode")[0]
 
 
 def law_page(url: str | None, html: str | None) -> dict | None:

@@ -6,8 +6,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusloom.functions.text import seeded
 from corpusloom.operators.etl import row_index
 
-# Rows per batch by length bucket, for groups of eight texts.
+# Rows per batch by length bucket, by the number of texts in a group; the last two are for devices of 24 GB.
 BATCH_ROWS = {"0-500": 48, "500-1000": 32, "1000-2000": 20, "2000-3000": 18, "3000-4000": 14, "4000-5000": 14, "5000-6000": 12, "6000-7000": 10, "7000-inf": 8}
+BATCH_ROWS_OF_GROUPS = {
+    8: BATCH_ROWS,
+    3: {"0-512": 86, "512-1024": 56, "1024-2048": 24, "2048-3072": 16, "3072-4096": 10, "4096-5120": 8, "5120-6144": 8, "6144-7168": 8, "7168-inf": 8},
+    2: {"0-512": 88, "512-1024": 58, "1024-2048": 24, "2048-inf": 16},
+    1: {"0-512": 144, "512-1024": 80, "1024-2048": 56, "2048-3072": 44, "3072-4096": 32, "4096-5120": 24, "5120-6144": 24, "6144-7168": 24, "7168-inf": 24},
+}
+SMALL_DEVICE_ROWS_OF_GROUPS = {
+    3: {"0-512": 60, "512-1024": 44, "1024-2048": 24, "2048-inf": 24},
+    2: {"0-512": 88, "512-1024": 58, "1024-2048": 24, "2048-inf": 16},
+}
 
 
 def _draw(key: str, place: Column, seed: int) -> Column:
@@ -38,6 +48,12 @@ def batch_rows(bucket: Column, default: int, table: dict[str, int] | None = None
     return F.coalesce(F.try_element_at(F.create_map(*entries), bucket), F.lit(default))
 
 
+def group_batch_rows(bucket: Column, group_size: int, default: int, small_device: bool = False) -> Column:
+    """Rows per batch of a bucket for groups of ``group_size`` texts; ``default`` for other buckets and sizes."""
+    known = (SMALL_DEVICE_ROWS_OF_GROUPS if small_device else BATCH_ROWS_OF_GROUPS).get(group_size)
+    return batch_rows(bucket, default, known) if known else F.lit(default)
+
+
 def merge_small(df: DataFrame, file: str, small: int, drop: int) -> DataFrame:
     """Files of fewer than ``small`` rows become one, ``merged``; it is dropped if it has fewer than ``drop``.  ``batch`` is the least of a file's."""
     counts = df.groupBy(file).agg(F.count("*").alias("_n"))

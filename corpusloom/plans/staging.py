@@ -39,20 +39,34 @@ def stage(df: DataFrame, compression: str = "zstd") -> DataFrame:
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._staged_at = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a staged table that nothing needs any more, neither read later nor part of a plan not yet run."""
+    path = getattr(df, "_staged_at", None)
+    if path in _staged:
+        _staged.remove(path)
+        _remove(path)
+
+
+def _remove(path: str) -> None:
+    if re.match(r"(file:)?/", path):
+        shutil.rmtree(re.sub(r"^file:/*", "/", path), ignore_errors=True)
+        return
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release() -> None:
     """Remove the staged tables; results that still depend on them can't be read afterwards."""
     for path in [*_staged, *_own]:
-        if re.match(r"(file:)?/", path):
-            shutil.rmtree(re.sub(r"^file:/*", "/", path), ignore_errors=True)
-        else:
-            spark = SparkSession.getActiveSession()
-            if spark is not None:
-                jvm = spark.sparkContext._jvm
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _remove(path)
     _staged.clear()
     _own.clear()
 

@@ -270,9 +270,59 @@ LAW = """<h1>Law 1</h1><table><tr><td>No</td><td>1/2020</td><td></td><td></td><t
 two</p>"""
 
 
+def test_sentence_fillers_and_batch_tables(spark):
+    text = "One  two. Three...  four."
+    sentences, fillers = T.split_with_fillers(text, collapsed=True)
+    assert "".join(f + s for f, s in zip(fillers, [*sentences, ""])) == "One two. Three. four."
+    assert T.align_fillers("a b. c", ["b.", "c"]) == ["a ", " ", ""] and T.align_fillers("abc", ["x"], ignore_errors=True) == ["a", "c"]
+    with pytest.raises(ValueError):
+        T.align_fillers("abc", ["x"])
+    assert one(spark, training.group_batch_rows(F.lit("0-512"), 1, 5)) == 144 and one(spark, training.group_batch_rows(F.lit("0-512"), 3, 5, True)) == 60
+    assert one(spark, training.group_batch_rows(F.lit("0-512"), 7, 5)) == 5 and one(spark, training.group_batch_rows(F.lit("x"), 2, 5)) == 5
+
+
+def test_missing_folder_and_languages(spark, tmp_path):
+    with pytest.raises(NotADirectoryError):
+        readers.read_folder(spark, str(tmp_path / "none"))
+    names = spark.createDataFrame([("queries_en.json.gz",), ("queries.json",), (None,), ("a_vi",)], "f string").select(etl.file_language(F.col("f")).alias("l"))
+    assert [r.l for r in names.collect()] == ["en", "vi", "vi", "vi"]
+
+
+def test_stored_index_scores_and_reports(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c c"), (3, ""), (4, None)], "k long, t string")
+    asked = spark.createDataFrame([("q", "b c"), (None, "b")], "q string, t string")
+    terms = F.split("t", " ")
+    direct = {(r.pid, round(r.score, 9)) for r in retrieval.bm25(asked, "q", terms, docs, "k", terms).collect()}
+    retrieval.build_bm25(docs, "k", terms, str(tmp_path / "index"))
+    stored = retrieval.search_bm25(retrieval.load_bm25(spark, str(tmp_path / "index")), asked, "q", terms)
+    assert {(r.pid, round(r.score, 9)) for r in stored.collect()} == direct and {p for p, _ in direct} == {1, 2}
+    texts = spark.createDataFrame([(1, "một hai"), (2, "hai ba"), (3, ""), (4, None)], "k long, t string")
+    encoded = models.encode_all(texts, "k", "t", models.hashed_multi_encoder(8))
+    side = lambda k, p: encoded.select(F.col("k").alias(k), *(F.col(c).alias(f"{p}_{c}") for c in ("dense", "lexical", "vectors")))
+    scores = {(r.qid, r.pid): r for r in retrieval.pair_scores(side("qid", "q").crossJoin(side("pid", "p"))).collect()}
+    assert scores[1, 1].dense == pytest.approx(1, abs=1e-6) and scores[1, 1].colbert == pytest.approx(1, abs=1e-6) and scores[1, 2].sparse > 0 and scores[3, 4].sparse == 0
+    weights = spark.createDataFrame([(1, 7, 0.5), (1, 8, 0.9), (1, 99, 1.0)], "k int, token_id int, weight double")
+    named = models.token_strings(weights, spark.createDataFrame([(7, "x"), (8, "x")], "token_id int, token string")).collect()
+    assert [(r.k, r.token, r.weight) for r in named] == [(1, "x", 0.9)]
+    text = metrics.report(spark.createDataFrame([("recall", 5, 0.25), ("map", 5, 0.5)], "metric string, k int, value double"), "Law")
+    assert text == "Law\nmap@5: 0.5000\nrecall@5: 25.00%"
+
+
+def test_nearest_neighbours_with_ties(spark):
+    rows = [(i, [1.0, 0.0] if i % 3 else [0.0, 1.0]) for i in range(40)] + [(99, None)]
+    df = spark.createDataFrame(rows, "k long, embedding array<double>").repartition(5)
+    found = retrieval.knn_join(df.where("k < 3"), df, 7, "k", "k", skip_self=True).collect()
+    for q in range(3):
+        want = sorted((i for i in range(40) if i != q), key=lambda i: (-(1.0 if bool(i % 3) == bool(q % 3) else 0.0), i))[:7]
+        assert [r.pid for r in sorted(found, key=lambda r: r.rank) if r.qid == q] == want
+    assert retrieval.knn_join(df.limit(0), df, 7, "k", "k").count() == 0 and retrieval.knn_join(df, df.limit(0), 7, "k", "k").count() == 0
+
+
 def test_html(spark):
     pairs = html.qa_pairs(PAGE)
     assert [p["question"] for p in pairs] == ["First?", "Second?"] and [d["href"] for d in pairs[0]["rel_docs"]] == ["/a", "/b"] and pairs[1]["rel_docs"] == []
+    nested = "<h2>A</h2><p><a href='/1?x=2&mode=print'>one</a></p><h2>B</h2><p><a href='/2'>two</a> <a href='/3'>three</a></p><p><a href='/4'>four</a></p>"
+    assert [[d["href"] for d in p["rel_docs"]] for p in html.qa_pairs(nested)] == [["/1?x=2"], ["/2", "/3", "/4"]]
     law = html.law_page("https://x/law-77.aspx", LAW)
     assert law["id"] == "77" and law["so_hieu"] == "1/2020" and law["noi_ban_hanh"] == "Office" and law["loai_van_ban"] == "Decree" and law["content"] == ["Chapter I", "Line two"]
     assert html.law_page("u", "<p>x</p>") is None
