@@ -19,6 +19,8 @@ from corpusloom.plans.staging import stage
 #: Newton steps, and the relative miss at which they end.
 STEPS, TOLERANCE = 60, 1e-7
 _HASH = float(1 << 52)
+#: The source of ids that have none.
+UNKNOWN = "unknown"
 
 
 def feasible(sizes: dict, weights: dict, caps: dict) -> tuple[float, dict]:
@@ -165,17 +167,19 @@ def pair_sources(merged: DataFrame, train: DataFrame) -> DataFrame:
     """``(key, source, size)`` of the training pairs: the source is the prefix of the id in ``query``.
 
     Ids are trimmed and lower-cased, with any of ``_-:/ `` between their parts; an id without a source gets the one
-    of the sample with its number.  Null ids and ids of no known form have no source and give no row.
+    of the sample with its number.  Ids of no known form, and ids without a source whose sample is not there, are of
+    the source ``unknown``, which has no target, so they are not used but reported.  Null and blank ids give no row.
     """
     plain = F.regexp_replace(F.lower(F.trim("query")), "[\\s_:/-]+", "_")
-    parts = merged.select(
-        F.regexp_extract(plain, "^(?:([a-z0-9]+)_)?query_(.+)$", 1).alias("prefix"), F.regexp_extract(plain, "^(?:([a-z0-9]+)_)?query_(.+)$", 2).alias("number")
-    ).where("number <> ''")
-    parts = parts.distinct()
+    every = merged.select(
+        plain.alias("id"), F.regexp_extract(plain, "^(?:([a-z0-9]+)_)?query_(.+)$", 1).alias("prefix"), F.regexp_extract(plain, "^(?:([a-z0-9]+)_)?query_(.+)$", 2).alias("number")
+    ).where("id <> ''").distinct()
+    parts = every.where("number <> ''").select("prefix", "number").distinct()
     samples = train.select(F.col("sample_id").cast("string").alias("number"), F.lower(F.trim("source")).alias("of")).where("number IS NOT NULL").dropDuplicates(["number"])
-    bare = parts.where("prefix = ''").select("number").join(samples, "number").select(F.col("of").alias("prefix"), "number")
-    whole = parts.where("prefix <> ''").union(bare).where("prefix IS NOT NULL").distinct()
-    return whole.select(F.concat("prefix", F.lit("_query_"), "number").alias("key"), F.col("prefix").alias("source"), F.lit(1).alias("size"))
+    bare = parts.where("prefix = ''").select("number").join(samples, "number", "left").select(F.coalesce("of", F.lit(UNKNOWN)).alias("prefix"), "number")
+    whole = parts.where("prefix <> ''").union(bare).distinct().select(F.concat("prefix", F.lit("_query_"), "number").alias("key"), F.col("prefix").alias("source"))
+    odd = every.where("number = ''").select(F.col("id").alias("key"), F.lit(UNKNOWN).alias("source"))
+    return whole.union(odd).withColumn("size", F.lit(1))
 
 
 def _mixes(spark, folder: str):

@@ -201,6 +201,6 @@ def test_mixing(spark):
     assert sum(r.copies for r in used if r.source == "b") == report["b"].copies and len({r.key for r in used}) == len(used)
     none, empty = mixing.balance(df.limit(0), "key", "source", "size", targets)
     assert none.count() == 0 and {r.source for r in empty.collect()} == {"a", "b", "none"}
-    merged = spark.createDataFrame([(" TVPL_query_5",), ("tvpl-query-5",), ("query_7",), (None,), ("odd",), ("msmarco_query_8",)], "query string")
+    merged = spark.createDataFrame([(" TVPL_query_5",), ("tvpl-query-5",), ("query_7",), (None,), ("  ",), ("odd",), ("query_9",), ("msmarco_query_8",)], "query string")
     train = spark.createDataFrame([(7, "news"), (8, "x")], "sample_id int, source string")
-    assert sorted((r.key, r.source) for r in mixing.pair_sources(merged, train).collect()) == [("msmarco_query_8", "msmarco"), ("news_query_7", "news"), ("tvpl_query_5", "tvpl")]
+    assert sorted((r.key, r.source) for r in mixing.pair_sources(merged, train).collect()) == [("msmarco_query_8", "msmarco"), ("news_query_7", "news"), ("odd", "unknown"), ("tvpl_query_5", "tvpl"), ("unknown_query_9", "unknown")]
