@@ -73,13 +73,14 @@ QUESTION = "Doanh nghiệp Bình Minh có phải nộp bản kê chi tiết khi
 SOUND = [
     "Có.", "Theo khoản 5 Điều 12 Luật số 3/2040/QH21, doanh nghiệp phải nộp bản kê chi tiết trong thời hạn 5 ngày.",
     "Công chứng viên xin lỗi người lao động bằng văn bản nếu để xảy ra sai sót khi thanh toán tiền lương.", "Doanh nghiệp phải nộp, v.v...",
+    "Doanh nghiệp phải nộp bản kê chi tiết cho cơ quan thuế của xã Vào Từ.",
     QUESTION + " Có, doanh nghiệp phải nộp bản kê chi tiết cho cơ quan thuế trước ngày 5 tháng sau theo quy định chung.",
     "Văn bản tiếng Anh dùng cụm “force majeure clause” và “grace period” cho trường hợp này.", "Doanh nghiệp phải nộp bản kê. (Nguồn: Điều 3 Nghị định 5/2040/NĐ-CP)",
 ]
 BROKEN = {
     "": "empty", "  ​": "empty", "N/A": "empty", "<p></p>": "empty", None: "empty", "Đang cập nhật...": "empty", QUESTION: "copy", ">> " + QUESTION.upper(): "copy",
     "Xin lỗi, em không rõ vấn đề này ạ, mong bạn thông cảm.": "refusal", "Với vai trò là trợ lý ảo, câu hỏi nằm ngoài phạm vi mà tôi có thể giúp.": "refusal",
-    "Doanh nghiệp phải nộp bản kê cho cơ quan thuế. Hội đồng gồm đại diện của": "truncated", "Doanh nghiệp phải nộp bản kê cho cơ quan thuế theo [...]": "truncated",
+    "Doanh nghiệp phải nộp bản kê cho cơ quan thuế. Hội đồng gồm đại diện của": "truncated", "Doanh nghiệp phải nộp bản kê chi tiết cho cơ quan thuế của xã và từ.": "truncated", "Doanh nghiệp phải nộp bản kê cho cơ quan thuế theo [...]": "truncated",
     "The employer of the project must file the itemised list with the district court before the end of the month.": "other_language",
     "Toutefois, le délai accordé à la société ne peut pas dépasser 51 jours ouvrables.": "other_language",
 }
