@@ -31,13 +31,13 @@ def dense_ids(df: DataFrame, value: str, order: str, prefix: str, name: str) ->
     return row_index(first, ["_first", value], "_n").select(value, F.concat(F.lit(prefix), F.col("_n").cast("string")).alias(name))
 
 
-def union_with_oids(parts: list[tuple[str, DataFrame]], text: str, order: str) -> DataFrame:
-    """``(oid, dataset, text)``: sources one after another, numbered through."""
+def union_with_oids(parts: list[tuple[str, DataFrame]], text: str, order: str, keep: list[str] | None = None) -> DataFrame:
+    """``(oid, dataset, text)`` and the columns ``keep``, null where a source lacks one: sources one after another, numbered through."""
     tagged = None
     for i, (name, df) in enumerate(parts):
-        rows = df.select(F.lit(i).alias("_source"), F.col(order).cast("string").alias("_order"), F.col(order).alias("_key").cast("long"), F.lit(name).alias("dataset"), F.col(text).alias("text"))
+        rows = df.select(F.lit(i).alias("_source"), F.col(order).cast("string").alias("_order"), F.col(order).alias("_key").cast("long"), F.lit(name).alias("dataset"), F.col(text).alias("text"), *(F.col(c) if c in df.columns else F.lit(None).alias(c) for c in keep or ()))
         tagged = rows if tagged is None else tagged.union(rows)
-    return row_index(tagged, ["_source", "_key", "_order"], "oid").select("oid", "dataset", "text")
+    return row_index(tagged, ["_source", "_key", "_order"], "oid").select("oid", "dataset", "text", *(keep or ()))
 
 
 def prefixed_union(parts: list[tuple[str, DataFrame]], key: str, text: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions import hashing, text as T
-from corpusloom.operators import dedup, etl, metrics, models, negatives, queries as Q, retrieval, training
+from corpusloom.operators import dedup, etl, html, metrics, models, negatives, queries as Q, retrieval, training
 from corpusloom.plans.staging import shared_folder, stage
 from corpusloom.session import table
 from corpusloom.sources import readers, sinks
@@ -404,10 +404,14 @@ def encoded_pairs(spark, folder):
 BANDS = {0.4: hashing.optimal_bands(0.4, Q.COUNT), 0.7: hashing.optimal_bands(0.7, Q.COUNT)}
 
 
+def _bands_sql(threshold: float) -> str:
+    bands, rows = BANDS[threshold]
+    return Q._signatures_sql().replace(f"(i // {Q.ROWS})::INT", f"(i // {rows})::INT").replace("FROM f GROUP BY 1, 2", f"FROM f WHERE i < {bands * rows} GROUP BY 1, 2")
+
+
 def _labelled_sql(threshold: float, previous: bool, jaccard: float) -> str:
     """Buckets at ``threshold``, then pairs of a bucket cluster above ``jaccard``, as components or first earlier matches."""
-    bands, rows = BANDS[threshold]
-    sql = Q._signatures_sql().replace(f"(i // {Q.ROWS})::INT", f"(i // {rows})::INT").replace("FROM f GROUP BY 1, 2", f"FROM f WHERE i < {bands * rows} GROUP BY 1, 2")
+    sql = _bands_sql(threshold)
     links = "SELECT b AS x, min(a) AS y FROM pairs GROUP BY b" if previous else "SELECT b AS x, a AS y FROM pairs"
     return f"""WITH RECURSIVE {sql}, {Q._EDGES}, {Q._COMPONENTS}, lab AS (SELECT w.doc_id, coalesce(component, w.doc_id) AS cluster FROM w LEFT JOIN k ON w.doc_id = k.node),
     x AS (SELECT lab.doc_id, cluster, list_distinct(regexp_extract_all(text, '([\\p{{L}}\\p{{N}}_]+ *\\p{{Nd}}*)', 1)) AS s FROM lab JOIN documents USING (doc_id)),
@@ -525,3 +529,83 @@ def round_trips(spark, folder):
         row = df.agg(F.count("*").alias("rows"), F.md5(F.array_join(digests, "")).alias("digest")).select(F.lit(name).alias("layout"), "rows", "digest")
         out = row if out is None else out.union(row)
     return out
+
+
+# -- pages -----------------------------------------------------------------------------------------------
+
+
+def _escaped(text):
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("'"), F.lit("&#39;"))
+
+
+_ASKED = """page AS (SELECT item_id, any_value(qa_pairs) AS qa FROM qa_items GROUP BY item_id), slot AS (SELECT item_id, qa, unnest(range(1, len(qa) + 1)) AS i FROM page),
+    asked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY i) AS q, qa[i] AS node FROM slot WHERE qa[i].question IS NOT NULL)"""
+
+
+@query(
+    rf"""WITH {_ASKED}, l AS (SELECT item_id, q, node, unnest(range(1, len(node.rel_docs) + 1)) AS j FROM asked),
+    d AS (SELECT item_id, q, j, node.rel_docs[j] AS link FROM l WHERE node.rel_docs[j].title IS NOT NULL AND node.rel_docs[j].href IS NOT NULL)
+    SELECT item_id, q, regexp_replace(replace(node.question, chr(10), ' '), '^\s+|\s+$', '', 'g') AS question, count(j) AS links, coalesce(md5(string_agg(split_part(link.href, '&mode', 1), ' ' ORDER BY j)), '') AS hrefs
+    FROM asked LEFT JOIN d USING (item_id, q) GROUP BY item_id, q, node.question"""
+)
+def page_questions(spark, folder):
+    """Pages of questions and links written as HTML, with the links of all questions behind each heading, and read again."""
+    pages = table(spark, folder, "qa_items").groupBy("item_id").agg(F.any_value("qa_pairs").alias("qa"))
+    link = lambda d: F.concat(F.lit("<a href='"), _escaped(d["href"]), F.lit("'>"), _escaped(d["title"]), F.lit("</a>"))
+    links = lambda q: F.transform(F.filter(F.coalesce(q["rel_docs"], F.array()), lambda d: d["title"].isNotNull() & d["href"].isNotNull()), link)
+    part = lambda q: F.concat(F.lit("<h2>"), _escaped(q["question"]), F.lit("</h2><p>"), F.array_join(links(q), " "), F.lit("</p>"))
+    body = F.array_join(F.transform(F.filter("qa", lambda q: q["question"].isNotNull()), part), "\n")
+    written = pages.select(F.col("item_id").cast("string").alias("url"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
+    found = html.extract_qa(written).select(F.col("url").cast("long").alias("item_id"), F.posexplode("qa_pairs").alias("q", "pair"))
+    hrefs = F.transform("pair.rel_docs", lambda d: d["href"])
+    joined = F.when(F.size(hrefs) > 0, F.md5(F.array_join(hrefs, " "))).otherwise("")
+    return found.select("item_id", (F.col("q") + 1).cast("long").alias("q"), F.col("pair.question").alias("question"), F.size(hrefs).cast("long").alias("links"), joined.alias("hrefs"))
+
+
+@query(
+    r"""SELECT id AS page, so_hieu, nullif(regexp_replace(replace(loai_van_ban, chr(10), ' '), '^\s+|\s+$', '', 'g'), '') AS kind, nullif(regexp_replace(replace(tinh_trang, chr(10), ' '), '^\s+|\s+$', '', 'g'), '') AS status, len(content) AS paragraphs
+    FROM laws WHERE len(content) > 0 AND so_hieu IS NOT NULL"""
+)
+def law_pages(spark, folder):
+    """Laws written as pages with a table of metadata and an anchored chapter, and read again."""
+    rows = table(spark, folder, "laws").where("size(content) > 0 AND so_hieu IS NOT NULL")
+    cell = lambda c: F.concat(F.lit("<td>"), _escaped(F.coalesce(c, F.lit(""))), F.lit("</td>"))
+    empty = F.lit("<td></td>")
+    head = F.concat(F.lit("<tr>"), empty, cell(F.col("so_hieu")), empty, empty, cell(F.col("noi_ban_hanh")), F.lit("</tr><tr>"), empty, cell(F.col("loai_van_ban")), F.lit("</tr>"))
+    lines = F.array_join(F.transform("content", lambda c: F.concat(F.lit("<p>"), _escaped(F.coalesce(c, F.lit(""))), F.lit("</p>"))), "")
+    status = F.concat(F.lit("<span class='status'>"), _escaped(F.coalesce("tinh_trang", F.lit(""))), F.lit("</span>"))
+    page = F.concat(F.lit("<h1>x</h1><table>"), head, F.lit("</table>"), status, F.lit("<div><p><a name='chuong_1'></a></p>"), lines, F.lit("</div>"))
+    found = html.extract_laws(rows.select(F.concat(F.lit("https://x/law-"), "id", F.lit(".aspx")).alias("url"), page.alias("html")))
+    blank = lambda c: F.when(F.col(c) != "", F.col(c))
+    return found.select(F.col("id").alias("page"), "so_hieu", blank("loai_van_ban").alias("kind"), blank("tinh_trang").alias("status"), (F.size("content") - 1).cast("long").alias("paragraphs"))
+
+
+@query(
+    f"""WITH RECURSIVE {_bands_sql(0.4)}, {Q._EDGES}, {Q._COMPONENTS}, {Q._CENTROID}, member AS (SELECT lab.doc_id, parent, x.s, text FROM lab JOIN x USING (doc_id) JOIN documents USING (doc_id)),
+    one AS (SELECT parent, min(doc_id) AS doc_id, any_value(s) AS s, text FROM member GROUP BY parent, text),
+    pair AS (SELECT a.parent AS cluster, a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.s, b.s))::DOUBLE AS c, len(a.s) AS n, len(b.s) AS m FROM one a JOIN one b ON a.parent = b.parent AND a.doc_id < b.doc_id)
+    SELECT cluster, a, b, round(CASE WHEN c > 0 THEN c / (n + m - c) ELSE 0 END, 6) AS score FROM pair"""
+)
+def candidate_scores(spark, folder):
+    """The score of every pair of different texts of a bucket cluster, as the mode "full" writes them out."""
+    rows = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    several = stage(dedup.lsh_clusters(rows, "doc_id", "text", bands=BANDS[0.4]))
+    found = dedup.cluster_pairs(rows, "doc_id", "text", several)
+    texts = rows.select("doc_id", F.md5("text").alias("m"))
+    different = found.join(texts.select(F.col("doc_id").alias("a"), F.col("m").alias("_x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("m").alias("_y")), "b").where("_x <> _y")
+    return different.select("cluster", "a", "b", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {Q._CLUSTERED} SELECT doc_id, source FROM c WHERE doc_id = cluster")
+def cluster_heads(spark, folder):
+    return dedup.cluster_roots(Q._text_clusters(spark, folder), "doc_id", "cluster").select("doc_id", "source")
+
+
+@query(
+    """SELECT row_number() OVER (ORDER BY part, place) - 1 AS oid, dataset, place, lang FROM (
+    SELECT 0 AS part, item_id AS place, 'eval' AS dataset, lang FROM eval_items UNION ALL SELECT 1, doc_id, 'documents', lang FROM documents)"""
+)
+def metadata_map(spark, folder):
+    """The global number of every row of several sources with the columns it came with."""
+    parts = [("eval", table(spark, folder, "eval_items").withColumnRenamed("item_id", "n")), ("documents", table(spark, folder, "documents").withColumnRenamed("doc_id", "n"))]
+    return etl.union_with_oids(parts, "text", "n", keep=["n", "lang"]).select("oid", "dataset", F.col("n").alias("place"), "lang")

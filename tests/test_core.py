@@ -81,6 +81,8 @@ def test_dewey_tables(spark):
     found = dewey_tables(df, "item_id", "qa")
     assert {(r.item_id, tuple(r.label), tuple(r.parent), r.question) for r in found["qa"].collect()} == {(1, (1,), (), "a"), (1, (3,), (), None)}
     assert {(r.item_id, tuple(r.label), tuple(r.parent), r.title) for r in found["qa.rel"].collect()} == {(1, (1, 1), (1,), "t"), (1, (1, 3), (1,), None)}
+    assert sorted(map(tuple, found[""].collect())) == [(1, "x"), (2, "x"), (3, "x")] and found[""].columns == ["item_id", "label"]
+    assert sorted(map(tuple, dewey_tables(df.select("item_id", "qa"), "item_id", "qa")[""].collect())) == [(1,), (2,), (3,)]
     whole = dewey_tables(df, "item_id", "qa", childless=True)["qa.rel"]
     assert {(r.item_id, *r.label) for r in whole.collect()} == {(1, 1, 1), (1, 1, 3), (1, 3, 0), (2, 0, 0), (3, 0, 0)}
     assert dewey_tables(df.limit(0), "item_id", "qa")["qa.rel"].count() == 0
