@@ -343,7 +343,7 @@ def record_bits(records: int) -> int:
     return bits
 
 
-def _candidates(num: int, den: int, chunk: int = 400_000, keys_at_once: int = 6_000_000):
+def _candidates(num: int, den: int, chunk: int = 250_000, keys_at_once: int = 2_000_000):
     """Pairs of records that share a subset and can overlap enough by size and sketch."""
 
     def run(tbl: pa.Table) -> pa.Table:
