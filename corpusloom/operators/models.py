@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StringT
 
 from corpusloom.functions.text import split_with_fillers, tokens
 from corpusloom.plans.spreading import spread
+from corpusloom.plans.staging import stage
 
 
 def hashed_encoder(dimensions: int = 64):
@@ -73,7 +74,7 @@ def unigram_perplexity(df: DataFrame, key: str, text: str) -> DataFrame:
     The end of the text counts as one more token with the share of texts.  Counts are joined by word; texts without words
     have the perplexity of the end alone.  Null texts are left out.
     """
-    rows = spread(df).where(F.col(text).isNotNull()).select(key, F.filter(tokens(F.col(text)), lambda t: t != "").alias("_w"))
+    rows = stage(spread(df).where(F.col(text).isNotNull()).select(key, F.filter(tokens(F.col(text)), lambda t: t != "").alias("_w")))
     words = rows.select(key, F.explode("_w").alias("_word")).groupBy(key, "_word").agg(F.count("*").alias("_times"))
     counts = words.groupBy("_word").agg(F.sum("_times").alias("_count"))
     total, kinds = counts.agg(F.coalesce(F.sum("_count"), F.lit(0)), F.count("*")).first()
