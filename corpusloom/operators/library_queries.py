@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions import hashing, text as T
 from corpusloom.operators import dedup, etl, html, metrics, models, negatives, queries as Q, retrieval, training
-from corpusloom.plans.staging import shared_folder, stage
+from corpusloom.plans.staging import own_folder, stage
 from corpusloom.session import table
 from corpusloom.sources import readers, sinks
 
@@ -373,7 +373,7 @@ def mixed_pair_scores(spark, folder):
 @query(Q.ORACLES["bm25_topk"])
 def bm25_from_files(spark, folder):
     """``bm25_topk`` from an index that has been written and read again."""
-    path = f"{shared_folder(spark)}/bm25-{spark.sparkContext.applicationId}"
+    path = own_folder(spark, "bm25")
     retrieval.build_bm25(table(spark, folder, "documents").where("text IS NOT NULL"), "doc_id", T.search_terms(F.col("text")), path)
     asked = table(spark, folder, "dev_queries").select("qid", "query").where("query IS NOT NULL").distinct().where(T.id_number(F.col("qid")) % 100 == 0)
     found = retrieval.search_bm25(retrieval.load_bm25(spark, path), asked, "qid", T.search_terms(F.col("query")), k=None)
@@ -500,7 +500,7 @@ def round_trips(spark, folder):
     """Evaluation items written in every layout and read again."""
     import pyarrow as pa
 
-    base = f"{shared_folder(spark)}/files-{spark.sparkContext.applicationId}"
+    base = own_folder(spark, "files")
     items = table(spark, folder, "eval_items").where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text")
     kind = "item_id long, text string"
     sinks.write_table(items, f"{base}/parquet")
@@ -508,8 +508,7 @@ def round_trips(spark, folder):
     items.write.mode("overwrite").option("compression", "gzip").json(f"{base}/gzip")
     sinks.write_buckets(items.withColumn("bucket", training.length_bucket(F.length("text"), [0, 300, 600])), f"{base}/buckets", overwrite=True)
     sinks.write_id_text(items.withColumn("id", F.col("item_id").cast("string")), f"{base}/map")
-    if not sinks.exists(spark, f"{base}/resumed"):
-        sinks.write_in_steps(items.where("item_id % 2 = 0"), f"{base}/resumed", "item_id", lambda d: d, 2)
+    sinks.write_in_steps(items.where("item_id % 2 = 0"), f"{base}/resumed", "item_id", lambda d: d, 2)  # interrupted
     sinks.write_in_steps(items, f"{base}/resumed", "item_id", lambda d: d, 3)
     sinks.write_table(items.withColumn("text", F.hex("text")), f"{base}/scores", "csv")
     sink = pa.BufferOutputStream()

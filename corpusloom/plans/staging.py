@@ -44,6 +44,13 @@ def stage(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return found
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for files other than staged tables; removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Remove a staged table that nothing needs any more, neither read later nor part of a plan not yet run."""
     path = getattr(df, "_staged_at", None)
