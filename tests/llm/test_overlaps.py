@@ -1,11 +1,13 @@
 """Near copies, cross-split overlaps and leaks against brute force."""
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from corpusloom.llm import crosssplit, leaks, nearcopies, wordsets
+from corpusloom.llm import crosssplit, leaks, nearcopies, spool, wordsets
 from corpusloom.llm.textform import words
 
 
@@ -91,6 +93,41 @@ def test_bytes_of_a_record_are_bounded():
     assert all(sent / plan.rounds <= 2 * nearcopies.ROUND_BYTES * 138 for sent, plan in sizes.values()), {r: (s, p.rounds) for r, (s, p) in sizes.items()}
 
 
+def group_batches(records, subset, rng):
+    """A group of the candidate search in batches: the first records have hardly a subset, the others many; each tenth is a copy with one word more."""
+    lists = [rng.choice(1000, 2 if i < 1500 else 18, replace=False) if i % 10 or i < 1500 else None for i in range(records)]
+    lists = [np.append(lists[i - 1], 1001) if words is None else words for i, words in enumerate(lists)]
+    for at in range(0, records, 1000):
+        some = lists[at : at + 1000]
+        length = np.array([len(w) for w in some])
+        begin = wordsets.starts(length)
+        code = np.concatenate(some).astype(np.uint32) << np.uint32(3) | np.uint32(3)
+        code[begin[1:] - 1] |= np.uint32(4)
+        flat = wordsets.mix(np.concatenate(some), 1) << np.uint64(3)
+        cells = [np.arange(at, at + len(some)).astype(np.uint64), length.astype(np.uint32), np.stack(wordsets.sketches(flat, begin[:-1]), axis=1), wordsets.as_bytes(code).reshape(-1, 4)[:, :2]]
+        row = [pa.array([2 * 4 + subset], pa.int32()), pa.array([0]), *(pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in cells)]
+        yield pa.RecordBatch.from_arrays(row, ["key", "sub", "h1", "n", "sketch", "codes"])
+
+
+@pytest.mark.parametrize("subset", [1, 2, 3])
+def test_group_in_bounded_memory(monkeypatch, subset):
+    monkeypatch.setattr(spool, "HELD", 1 << 14)
+    monkeypatch.setattr(nearcopies, "_CODES", 20_000)
+    records = 12_000 if subset == 3 else 4_000
+    batches = list(group_batches(records, subset, np.random.default_rng(2)))
+    tracemalloc.start()
+    found = set()
+    for batch in nearcopies._candidates(13, 20, chunk=20_000, keys_at_once=40_000)(iter([*batches, batches[3]])):
+        found |= set(zip(*(c.to_pylist() for c in batch.columns)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(i - 1, i) for i in range(1510, records, 10)} <= found and all(a < b for a, b in found)
+    # all subsets of three of 18 words of 12,000 records are 8.6 million keys of 8 bytes
+    assert peak < 12e6, peak
+    whole = nearcopies._candidates(13, 20, keys_at_once=10**9)(iter(batches))
+    assert found == {pair for batch in whole for pair in zip(*(c.to_pylist() for c in batch.columns))}
+
+
 def test_buckets_hold_a_task():
     for records in (10, 10**6, 10**8):
         b = wordsets.buckets_needed(records, 8.0, 10**6)
