@@ -158,6 +158,34 @@ def test_links_connect_what_all_pairs_connect(spark):
     assert len(set(found.values())) <= len(set(label)) * 1.02
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_opening_clusters_are_exact(spark, seed):
+    """Openings of few families that share keys with many of their own family, which are not similar to them."""
+    rng = random.Random(seed)
+    pool = [f"w{i}" for i in range(60)]
+    stems = [" ".join(rng.choice(pool) for _ in range(6)) for _ in range(6)]
+    made = sorted({rng.choice(stems) + " " + " ".join(rng.choice(pool[:9]) for _ in range(6)) for _ in range(600)})
+    made += ["k l m n", "k l m o", "z k l m", "r r r r", "r r r r r s", "p q p q", "q p q p q"]  # few distinct shingles
+    sets = [set(pairdefects._shingles(o)) for o in made]
+
+    def clusters(edges):
+        parent = list(range(len(made)))
+
+        def top(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i, j in edges:
+            parent[top(i)] = top(j)
+        tops = [top(i) for i in range(len(made))]
+        return {frozenset(o for o, t in zip(made, tops) if t == k) for k in set(tops)}
+
+    want = clusters((i, j) for i in range(len(made)) for j in range(i) if len(sets[i] & sets[j]) >= pairdefects.SIMILAR * len(sets[i] | sets[j]))
+    links = pairdefects.opening_links(spark.createDataFrame([(o,) for o in made], "opening string")).collect()
+    assert clusters((made.index(r.opening), made.index(r.head)) for r in links) == want
+
+
 ABUSIVE = ["Mày đúng là đồ súc vật", "do ngu, con cho", "đ.ồ n.g.u. Thằng kh*n nạn!", "cút kh0i đây ngay", "Go rot somewhere, you waste of air", "$h0w me your tits for 5 coins", "bọn dân Xa toàn là ký sinh trùng, phải đuổi hết khỏi Nam Sơn"]
 FINE = ["Con chó nhà hàng xóm cắn người thì ai đền?", "Bị cáo thừa nhận đã chửi “đồ ngu, đồ lợn” với nhân viên", "Phát tán ảnh khỏa thân, phim khiêu dâm lên mạng bị phạt", "I felt stupid reading the part twice.", "Quỹ Nhụi Thắng Diễn nộp biên lai", "Hate speech that calls migrants vermin must be removed", "", None]
 
