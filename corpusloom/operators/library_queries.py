@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions import hashing, text as T
-from corpusloom.operators import dedup, etl, html, metrics, models, negatives, queries as Q, retrieval, training
+from corpusloom.operators import dedup, etl, html, metrics, models, negatives, queries as Q, retrieval, setpairs, training
 from corpusloom.plans.staging import own_folder, stage
 from corpusloom.session import table
 from corpusloom.sources import readers, sinks
@@ -450,21 +450,9 @@ def question_clusters(spark, folder):
 )
 def similar_in_law(spark, folder):
     """Pairs of documents of the same law that resemble each other, by both measures."""
-    rows = table(spark, folder, "documents").where("text IS NOT NULL AND law_id IS NOT NULL")
-    sets = stage(rows.select("doc_id", F.col("law_id").alias("cluster"), T.numbered_words(F.col("text")).alias("_words")))
-    near = dedup.similar_pairs(sets, "doc_id", 0.6)
-    # equal sets come through their least member: pairs of copies and of their partners follow from it
-    least = sets.withColumn("_words", F.array_sort("_words")).groupBy("cluster", "_words").agg(F.collect_list("doc_id").alias("_all"), F.min("doc_id").alias("_head")).where("size(_words) > 0")
-    member = least.select("cluster", "_head", F.explode("_all").alias("_id"))
-    a, b = member.select("cluster", F.col("_head").alias("a"), F.col("_id").alias("_a")), member.select("cluster", F.col("_head").alias("b"), F.col("_id").alias("_b"))
-    heads = near.join(a.select("a").distinct(), "a").join(b.select("b").distinct(), "b").select("cluster", "a", "b")
-    across = heads.join(a, ["cluster", "a"]).join(b, ["cluster", "b"]).select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
-    within = a.join(b.withColumnRenamed("b", "a"), ["cluster", "a"]).where("_a < _b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    pairs = across.union(within).distinct()
-    x = sets.select(F.col("doc_id").alias("a"), F.col("_words").alias("_x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("_words").alias("_y"))
-    j, c = dedup.jaccard(F.col("_x"), F.col("_y")), dedup.containment(F.col("_x"), F.col("_y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", F.round(j, 6).alias("jaccard"), F.round(c, 6).alias("containment"))
+    rows = table(spark, folder, "documents").select("doc_id", "law_id", "text").where("text IS NOT NULL AND law_id IS NOT NULL")
+    found = setpairs.resembling_pairs(rows, "doc_id", "law_id", T.numbered_words(F.col("text")), 0.6)
+    return found.select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("containment", 6).alias("containment"))
 
 
 @query(

@@ -394,3 +394,52 @@ def test_registry_names():
     assert "dense_metrics" in names and set(sql) <= set(names) and "p6_found" in names
 
 
+
+
+def shuffled(spark):
+    """Bytes of shuffle files that the session has written so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+
+
+def test_similar_in_law_sends_no_words_for_unlike_pairs(spark, tmp_path):
+    from corpusloom.operators import library_queries
+
+    rng, names = random.Random(5), [f"word{i:03}" for i in range(160)]
+    texts = [" ".join(f"{w}," for w in rng.sample(names, 60)) for _ in range(600)]
+    texts[7] = texts[3].replace(texts[3].split()[0], "other,")
+    rows = [(i, t, "law") for i, t in enumerate(texts)] + [(3, texts[0], "another law"), (600, texts[3], "law"), (None, texts[3], "law"), (601, texts[3], None), (602, " .", "law"), (603, " .", "law")]
+    spark.createDataFrame(rows, "doc_id long, text string, law_id string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    before = shuffled(spark)
+    found = sorted(map(tuple, library_queries.similar_in_law(spark, str(tmp_path)).collect()))
+    assert shuffled(spark) - before < 4 * sum(map(len, texts))  # not the words of 180,000 pairs
+    near = (round(59 / 61, 6), round(59 / 60, 6))
+    assert found == [(3, 7, *near), (3, 600, 1.0, 1.0), (7, 600, *near)]
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.35])
+def test_resembling_pairs_equal_all_pairs(spark, monkeypatch, threshold):
+    from corpusloom.operators import setpairs
+
+    monkeypatch.setattr(setpairs, "BLOCK", 16)  # many blocks, also growing ones
+    monkeypatch.setattr(setpairs, "LARGEST", 40)
+    monkeypatch.setattr(setpairs, "BLOCKS", 3)
+    rng, rows = random.Random(6), []
+    for law, size in (("a", 260), ("b", 40), ("c", 1), ("d", 15)):
+        for _ in range(size):
+            if rows and rng.random() < 0.6:  # an edited form of an earlier one
+                words = [w for w in rng.choice(rows)[2] if rng.random() < rng.choice((0.7, 0.9, 1))]
+                words += [f"n{rng.randrange(999)}" for _ in range(int(len(words) * rng.choice((0, 0.1, 0.3))))]
+            else:
+                words = [f"w{rng.randrange(900)}" for _ in range(rng.choice((0, 1, 2, 5, 40, 64, 65, 130, 400)))]
+            rng.shuffle(words)
+            rows.append((rng.randrange(300), law, list(dict.fromkeys(words))))  # keys repeat
+    want = []
+    for a, law, x in rows:
+        for b, other, y in rows:
+            c = len({*x} & {*y})
+            if law == other and a < b and c and c / (len(x) + len(y) - c) > threshold:
+                want.append((a, b, c / (len(x) + len(y) - c), c / min(len(x), len(y))))
+    df = spark.createDataFrame(rows, "k long, law string, words array<string>")
+    found = setpairs.resembling_pairs(df, "k", "law", F.col("words"), threshold)
+    assert len(want) > 300 and sorted(map(tuple, found.collect())) == sorted(want)
